@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from siftloom.session import checkpointed
 
-from . import budget, mix, pack, spans
+from . import budget, leak, mix, pack, repeat, spans
 from .common import read, sliced, token_sizes
 
 
+def p1_found(spark, d):
+    return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p1_leaks(spark, d):
+    return leak.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def p1_item_report(spark, d):
+    return leak.item_report(read(spark, d, "eval_items"), p1_leaks(spark, d))
+
+
+def p3_found(spark, d):
+    return repeat.repetitive(read(spark, d, "documents"))
+
+
+def p3_repetition(spark, d):
+    return repeat.repetition(read(spark, d, "documents"))
+
+
 def p5_token_budget(spark, d):
     return budget.token_budget(sliced(read(spark, d, "documents")))
 
