@@ -12,6 +12,9 @@ from siftloom.functions.labels import canonical_domain, canonical_lang, canonica
 
 from . import bpe
 
+#: Rows of a narrow table that may be broadcast: a few columns, under 16 MB.
+BROADCAST_ROWS = 200_000
+
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -46,3 +49,8 @@ def token_sizes(df: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY) -> Data
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), sizes], names=[*names, "n_tokens"])
 
     return df.select(*names, "text").mapInArrow(count, schema)
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``BROADCAST_ROWS`` rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from siftloom.functions.labels import rating
 from siftloom.session import checkpointed
 
-from . import budget, leak, mix, pack, repeat, spans
-from .common import read, sliced, token_sizes
+from . import budget, cutoff, leak, mix, pack, repeat, spans
+from .common import read, resolved_source, sliced, token_sizes
 
 
 def p1_found(spark, d):
@@ -20,6 +23,27 @@ def p1_item_report(spark, d):
     return leak.item_report(read(spark, d, "eval_items"), p1_leaks(spark, d))
 
 
+def _scored(spark, d):
+    """Records of both rating tables: valid ratings as numbers, all else as null."""
+    a, s = read(spark, d, "annotated"), read(spark, d, "sft_stats")
+    score = F.when((F.col("overall_score") >= 1) & (F.col("overall_score") <= 5), F.col("overall_score"))
+    return a.select(
+        F.lit("annotated").alias("dataset"), F.col("document_index").alias("record"), resolved_source(a, "source_domain", "document_index").alias("source"),
+        rating(F.col("overall_score")).cast("double").alias("score"),
+    ).unionByName(
+        s.select(F.lit("sft_stats").alias("dataset"), F.col("sample_index").alias("record"), resolved_source(s, "source", "sample_index").alias("source"), score.alias("score"))
+    )
+
+
+def p2_cutoffs(spark, d):
+    return cutoff.cutoffs(_scored(spark, d), read(spark, d, "mix_targets"))
+
+
+def p2_kept_records(spark, d):
+    records = _scored(spark, d)
+    return cutoff.kept(records, cutoff.cutoffs(records, read(spark, d, "mix_targets")))
+
+
 def p3_found(spark, d):
     return repeat.repetitive(read(spark, d, "documents"))
 

@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from siftloom.session import checkpointed
 
+from .common import hinted
+
 MIN_LENGTH = 300
-#: Rows of a set of hashes or ids that may be broadcast: 32 bytes each at most, 16 MB.
-BROADCAST_ROWS = 500_000
 SALTS = 16
 
 _BASE = 0x9E3779B97F4A7C15
@@ -100,15 +100,6 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == _U else x, pa.int64())
 
 
-def _few(df: DataFrame) -> bool:
-    """Whether ``df`` may be broadcast; reads no more rows than the bound."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def _hinted(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if _few(df) else df
-
-
 def _records(documents: DataFrame, min_length: int) -> DataFrame:
     """Texts long enough to share a span, one of each set of copies: ``rep, text``. ``rep`` is the least id of the copies."""
     return documents.where((F.length("text") >= min_length) & F.col("doc_id").isNotNull()).select("doc_id", "text")
@@ -122,7 +113,7 @@ def copies(documents: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     keyed = _records(documents, min_length).select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
     reps = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     many = reps.where("n > 1").select("digest", "rep")
-    return keyed.join(_hinted(many), "digest").select("doc_id", "rep")
+    return keyed.join(hinted(many), "digest").select("doc_id", "rep")
 
 
 def shared_windows(documents: DataFrame, min_length: int = MIN_LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +125,7 @@ def shared_windows(documents: DataFrame, min_length: int = MIN_LENGTH) -> tuple[
     probe = max(1, 2 * min_length // 3)
     around = min_length - probe + 1
     same = checkpointed(copies(documents, min_length).where("doc_id > rep"))
-    texts = _records(documents, min_length).join(_hinted(same.select("doc_id")), "doc_id", "left_anti")
+    texts = _records(documents, min_length).join(hinted(same.select("doc_id")), "doc_id", "left_anti")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +143,7 @@ def shared_windows(documents: DataFrame, min_length: int = MIN_LENGTH) -> tuple[
     probes = checkpointed(texts.mapInArrow(scan, "hash bigint, doc_id bigint, place int"))
     repeated = probes.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("hash")
     repeated = checkpointed(repeated)
-    places = probes.join(_hinted(repeated), "hash").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = probes.join(hinted(repeated), "hash").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     places = checkpointed(places)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +163,7 @@ def shared_windows(documents: DataFrame, min_length: int = MIN_LENGTH) -> tuple[
                 yield pa.RecordBatch.from_arrays(cols, names=["hash", "prev", "doc_id", "start"])
 
     # Places of a document are at most 2 % of its code points, so few documents make a small table.
-    held = texts.join(_hinted(places), "doc_id").select("doc_id", "text", "places")
+    held = texts.join(hinted(places), "doc_id").select("doc_id", "text", "places")
     return held.mapInArrow(expand, "hash bigint, prev bigint, doc_id bigint, start int"), same
 
 
@@ -194,7 +185,7 @@ def shared_pairs(documents: DataFrame, min_length: int = MIN_LENGTH) -> DataFram
         .select("hash")
     )
     heads = checkpointed(heads)
-    members = checkpointed(windows.join(_hinted(heads), "hash").select("hash", "prev", "doc_id").distinct())
+    members = checkpointed(windows.join(hinted(heads), "hash").select("hash", "prev", "doc_id").distinct())
     # The records of one hash are split by salt on both sides, so the pairs of a common span are made by many tasks.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     left = members.select("hash", F.col("prev").alias("prev_a"), F.col("doc_id").alias("rep_a"), salt.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t"))
@@ -204,7 +195,7 @@ def shared_pairs(documents: DataFrame, min_length: int = MIN_LENGTH) -> DataFram
     # Each record stands for its copies; copies also form pairs among themselves.
     groups = same.unionByName(same.select(F.col("rep").alias("doc_id"), "rep").distinct())
     a, b = (groups.select(F.col("rep").alias(f"rep_{x}"), F.col("doc_id").alias(f"of_{x}")) for x in "ab")
-    wide = pairs.join(_hinted(a), "rep_a", "left").join(_hinted(b), "rep_b", "left")
+    wide = pairs.join(hinted(a), "rep_a", "left").join(hinted(b), "rep_b", "left")
     x, y = F.coalesce("of_a", "rep_a"), F.coalesce("of_b", "rep_b")
     across = wide.select(F.least(x, y).alias("doc_id_a"), F.greatest(x, y).alias("doc_id_b"))
     n = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
@@ -229,8 +220,8 @@ def shared_spans(documents: DataFrame, min_length: int = MIN_LENGTH) -> DataFram
     runs = hit.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("span_start"), (F.max("start") + min_length).alias("span_end")).drop("run")
     groups = same.unionByName(same.select(F.col("rep").alias("doc_id"), "rep").distinct())
-    whole = documents.select("doc_id", F.length("text").alias("span_end")).join(_hinted(groups.select("doc_id")), "doc_id")
-    return spans.join(_hinted(groups.select("doc_id")), "doc_id", "left_anti").unionByName(
+    whole = documents.select("doc_id", F.length("text").alias("span_end")).join(hinted(groups.select("doc_id")), "doc_id")
+    return spans.join(hinted(groups.select("doc_id")), "doc_id", "left_anti").unionByName(
         whole.select("doc_id", F.lit(0).alias("span_start"), "span_end")
     )
 
