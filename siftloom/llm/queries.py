@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftloom.functions.labels import rating
 from siftloom.session import checkpointed
 
-from . import budget, cutoff, leak, mix, pack, repeat, spans
+from . import budget, cutoff, leak, mix, pack, pairs, repeat, spans
 from .common import read, resolved_source, sliced, token_sizes
 
 
@@ -52,6 +52,14 @@ def p3_repetition(spark, d):
     return repeat.repetition(read(spark, d, "documents"))
 
 
+def p4_found(spark, d):
+    return pairs.defects(read(spark, d, "gpt_responses"))
+
+
+def p4_clause_coverage(spark, d):
+    return pairs.coverage(read(spark, d, "gpt_responses"))
+
+
 def p5_token_budget(spark, d):
     return budget.token_budget(sliced(read(spark, d, "documents")))
 
