@@ -75,7 +75,8 @@ def rank_stride(df: DataFrame, row: str, rank: int, world: int, limit: int | Non
 def fewshot(docs: DataFrame, pool: DataFrame, by: str, doc: str, k: int, order: list[Column]) -> DataFrame:
     """``doc, shot, example``: ``k`` examples of the same group for each document, never itself.
 
-    Only the first ``k + 1`` examples of a group can be drawn, so the join is with those.
+    ``order`` ranks the pool by its columns ``by, example``. Only the first ``k + 1`` examples
+    of a group can be drawn, so the join is with those.
     """
     first = running_total(pool.select(by, F.col(doc).alias("example")), [by], order, {"place": F.lit(1)}).where(F.col("place") <= k + 1)
     pairs = docs.select(by, doc).join(first, by).where(F.col("example") != F.col(doc))

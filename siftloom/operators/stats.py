@@ -84,12 +84,15 @@ def _finite(c: str):
 
 
 def pearson_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """``a, b, pearson`` of each pair, over the rows where both are finite; every pair in one aggregation."""
-    pairs = list(combinations(metrics, 2))
-    both = lambda x, y, z: F.when(_finite(x) & _finite(y), F.col(z).cast("double"))
-    row = df.agg(*[F.corr(both(a, b, a), both(a, b, b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    named = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("pearson")) for i, (a, b) in enumerate(pairs)]))
-    return row.select(named.alias("p")).select("p.a", "p.b", "p.pearson")
+    """``a, b, pearson`` of each pair, over the rows where both are finite.
+
+    Each row is spread over its pairs and folded into partial sums at once, so only one
+    row a pair and task is shuffled.
+    """
+    clean = df.select(*[F.when(_finite(m), F.col(m).cast("double")).alias(m) for m in metrics])
+    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(metrics, 2)]))
+    pairs = clean.select(spread.alias("p")).select("p.*")
+    return pairs.groupBy("a", "b").agg(F.corr(*[F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(c)) for c in "xy"]).alias("pearson"))
 
 
 def correlations(df: DataFrame, main: str, others: Sequence[str]) -> DataFrame:
