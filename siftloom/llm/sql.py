@@ -14,7 +14,7 @@ scored AS (
     FROM annotated
     UNION ALL
     SELECT 'sft_stats', sample_index, {_source("source", "sample_index")},
-           CASE WHEN overall_score >= 1 AND overall_score <= 5 THEN overall_score END
+           CASE WHEN overall_score >= 1 AND overall_score <= 5 AND NOT isnan(overall_score) THEN overall_score END
     FROM sft_stats
 ), wanted AS (
     SELECT {canonical_source_sql("source")} AS source, max(keep_fraction) AS keep_fraction FROM mix_targets GROUP BY 1
