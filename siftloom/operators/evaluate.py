@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import ratio
 from siftloom.functions.text import PUNCTUATION, softmax
 
 # ---- response filters: array of responses to array of responses -------------------------------------------------
@@ -146,7 +147,7 @@ def accuracy_multi(scores: Column, golds: Column) -> Column:
 
 def accuracy_norm(scores: Column, choices: Column, gold: Column) -> Column:
     """Accuracy of the scores per character of the choice."""
-    return accuracy(F.zip_with(scores, choices, lambda s, c: s / F.length(c)), gold)
+    return accuracy(F.zip_with(scores, choices, lambda s, c: ratio(s, F.length(c))), gold)
 
 
 def accuracy_mutual(scores: Column, unconditional: Column, gold: Column) -> Column:
@@ -187,14 +188,14 @@ AGGREGATIONS: dict[str, Callable[..., Column]] = {
     "mean": lambda x: F.avg(x),
     "median": lambda x: F.percentile(x, F.lit(0.5)),
     "perplexity": lambda ll: F.exp(-F.avg(ll)),
-    "weighted_perplexity": lambda ll, w: F.exp(-F.sum(ll) / F.sum(w)),
-    "bits_per_byte": lambda ll, n: -F.sum(ll) / F.sum(n) / math.log(2),
+    "weighted_perplexity": lambda ll, w: F.exp(-ratio(F.sum(ll), F.sum(w))),
+    "bits_per_byte": lambda ll, n: -ratio(F.sum(ll), F.sum(n)) / math.log(2),
     "bypass": lambda x: F.lit(999.0),
     "brier_score": lambda b: F.avg(b),
     "stddev_pop": lambda x: F.stddev_pop(x),
     "stddev": lambda x: F.stddev_samp(x),
-    "stderr": lambda x: F.stddev_samp(x) / F.sqrt(F.count(x)),
-    "weighted_mean": lambda x, w: F.sum(x * w) / F.sum(w),
+    "stderr": lambda x: ratio(F.stddev_samp(x), F.sqrt(F.count(x))),
+    "weighted_mean": lambda x, w: ratio(F.sum(x * w), F.sum(w)),
 }
 
 
@@ -326,7 +327,7 @@ def stderr_kind(metric: str, iterations: int) -> tuple[str, int]:
 def pooled_stderr(results: DataFrame, by: Sequence[str], stderr: str = "stderr", n: str = "n") -> DataFrame:
     """``by, stderr`` of subtasks pooled: sqrt(sum((n-1) se^2 n) / (sum(n) - k) / sum(n))."""
     se, size = F.col(stderr), F.col(n)
-    inside = F.sum((size - 1) * se * se * size) / (F.sum(size) - F.count("*")) / F.sum(size)
+    inside = ratio(ratio(F.sum((size - 1) * se * se * size), F.sum(size) - F.count("*")), F.sum(size))
     return results.groupBy(*by).agg(F.sqrt(inside).alias("stderr"))
 
 
@@ -371,7 +372,7 @@ def responses_by_document(instances: DataFrame) -> DataFrame:
 def compare_runs(first: DataFrame, second: DataFrame) -> DataFrame:
     """``task, z, p_value`` of two runs' ``task, value, stderr``; the p-value is two-sided normal."""
     a, b = (x.select("task", F.col("value").alias(f"v{i}"), F.col("stderr").alias(f"s{i}")) for i, x in enumerate((first, second)))
-    z = (F.col("v0") - F.col("v1")) / F.sqrt(F.col("s0") * F.col("s0") + F.col("s1") * F.col("s1"))
+    z = ratio(F.col("v0") - F.col("v1"), F.sqrt(F.col("s0") * F.col("s0") + F.col("s1") * F.col("s1")))
 
     @F.pandas_udf("double")
     def p_value(x: pd.Series) -> pd.Series:

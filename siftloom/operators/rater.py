@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import correlation
+
 from .stats import correlations
 
 
@@ -48,7 +50,7 @@ def score_report(df: DataFrame, by: list[str], truth: str, predicted: str) -> Da
         F.count("*").alias("n"), F.avg((t == p).cast("double")).alias("accuracy_5"), F.avg(((t < 3) == (p < 3)).cast("double")).alias("accuracy_2"),
         part(low, p < 3).alias("negative_accuracy"), part(~low, p >= 3).alias("positive_accuracy"),
         part(low, (t < 2) & (p >= 3)).alias("miss_1"), part(low, (t >= 2) & (p > 3)).alias("miss_2"), part(low, (t >= 2) & (p == 3)).alias("miss_3"),
-        part(~low, (t >= 4) & (p < 3)).alias("misjudge_1"), part(~low, (t < 4) & (p < 3)).alias("misjudge_2"), F.corr(t.cast("double"), p.cast("double")).alias("pearson"),
+        part(~low, (t >= 4) & (p < 3)).alias("misjudge_1"), part(~low, (t < 4) & (p < 3)).alias("misjudge_2"), correlation(t, p).alias("pearson"),
     )
 
 
@@ -67,7 +69,7 @@ def all_rating_report(pairs: DataFrame) -> DataFrame:
         below = F.coalesce(F.sum("m").over(Window.partitionBy("criterion").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranks.append(counted.select("criterion", c, (below + (F.col("m") + 1) / 2).alias(f"rank_{c}")))
     ranked = pairs.join(F.broadcast(ranks[0]), ["criterion", "truth"]).join(F.broadcast(ranks[1]), ["criterion", "predicted"])
-    spearman = ranked.groupBy("criterion").agg(F.corr("rank_truth", "rank_predicted").alias("spearman"))
+    spearman = ranked.groupBy("criterion").agg(correlation(F.col("rank_truth"), F.col("rank_predicted")).alias("spearman"))
     return score_report(pairs, ["criterion"], "truth", "predicted").join(spearman, "criterion", "left")
 
 

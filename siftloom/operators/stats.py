@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import correlation, ratio
+
 
 def long_form(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """One row for each metric of each row: ``keys, criterion, value``."""
@@ -92,7 +94,7 @@ def pearson_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     clean = df.select(*[F.when(_finite(m), F.col(m).cast("double")).alias(m) for m in metrics])
     spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(metrics, 2)]))
     pairs = clean.select(spread.alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(F.corr(*[F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(c)) for c in "xy"]).alias("pearson"))
+    return pairs.groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("pearson"))
 
 
 def correlations(df: DataFrame, main: str, others: Sequence[str]) -> DataFrame:
@@ -116,7 +118,7 @@ def correlations(df: DataFrame, main: str, others: Sequence[str]) -> DataFrame:
         s = lambda e: F.sum(F.col("n") * e)
         A, B = F.col(a), F.col(b)
         top = w * s(A * B) - s(A) * s(B)
-        return top / (F.sqrt(w * s(A * A) - s(A) * s(A)) * F.sqrt(w * s(B * B) - s(B) * s(B)))
+        return ratio(top, F.sqrt(w * s(A * A) - s(A) * s(A)) * F.sqrt(w * s(B * B) - s(B) * s(B)))
 
     return ranked.groupBy("criterion").agg(F.sum("n").alias("n"), weighted("x", "y").alias("pearson"), weighted("rank_x", "rank_y").alias("spearman"))
 
