@@ -33,7 +33,7 @@ def _fill(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
     order = w.orderBy("ratio", *LEAF[: len(parent) + 1])
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.col(budget) - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(w) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+        F.greatest(F.sum("weight").over(w) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)), F.col("weight"))
     )
     ranked = children.withColumn("ratio", ratio).where("ratio is not null").withColumn("level", level).withColumn("place", F.row_number().over(order))
     # Full children come first; the level of the first that is not full holds for it and all after it.

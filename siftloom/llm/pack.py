@@ -121,7 +121,7 @@ def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
         F.count("*").alias("n_bins"), F.coalesce(F.sum("items"), F.lit(0)).alias("n_parts"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"),
         F.coalesce(F.max("used"), F.lit(0)).alias("fullest"),
         F.ceil(F.coalesce(F.sum("used"), F.lit(0)) / capacity).alias("least_bins"),
-        F.round(F.sum("used") / (F.count("*") * capacity), 6).alias("fill"),
+        F.round(F.try_divide(F.sum("used").cast("double"), F.count("*") * capacity), 6).alias("fill"),
     )
 
 
