@@ -90,7 +90,7 @@ def two_sample_discrepancy(spark, d):
 
 
 _PAIRS = " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL), 6) AS pearson FROM stats"
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN NOT isnan(corr({a}, {b})) THEN round(corr({a}, {b}), 6) END AS pearson FROM stats"
     for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]
 )
 
@@ -106,7 +106,7 @@ _LONG_PAIRS = f"""p AS (SELECT criterion, overall_score AS x, value AS y FROM st
 @query(f"""WITH {STATS}, {_LONG_PAIRS}, r AS (
         SELECT criterion, x, y, rank() OVER (PARTITION BY criterion ORDER BY x) + (count(*) OVER (PARTITION BY criterion, x) - 1) / 2 AS rx,
                rank() OVER (PARTITION BY criterion ORDER BY y) + (count(*) OVER (PARTITION BY criterion, y) - 1) / 2 AS ry FROM p)
-    SELECT criterion, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1""")
+    SELECT criterion, count(*) AS n, CASE WHEN NOT isnan(corr(x, y)) THEN round(corr(x, y), 6) END AS pearson, CASE WHEN NOT isnan(corr(rx, ry)) THEN round(corr(rx, ry), 6) END AS spearman FROM r GROUP BY 1""")
 def correlations_overall(spark, d):
     return rounded(op.correlations(stats(spark, d), "overall_score", CRITERIA))
 

@@ -108,7 +108,7 @@ _REPORT = """count(*) AS n, round(avg(CAST(t = p AS INTEGER)), 6) AS accuracy_5,
     round(count(*) FILTER (WHERE t < 3 AND p < 3) / nullif(count(*) FILTER (WHERE t < 3), 0), 6) AS negative_accuracy, round(count(*) FILTER (WHERE t >= 3 AND p >= 3) / nullif(count(*) FILTER (WHERE t >= 3), 0), 6) AS positive_accuracy,
     round(count(*) FILTER (WHERE t < 2 AND p >= 3) / nullif(count(*) FILTER (WHERE t < 3), 0), 6) AS miss_1, round(count(*) FILTER (WHERE t >= 2 AND t < 3 AND p > 3) / nullif(count(*) FILTER (WHERE t < 3), 0), 6) AS miss_2,
     round(count(*) FILTER (WHERE t >= 2 AND t < 3 AND p = 3) / nullif(count(*) FILTER (WHERE t < 3), 0), 6) AS miss_3, round(count(*) FILTER (WHERE t >= 4 AND p < 3) / nullif(count(*) FILTER (WHERE t >= 3), 0), 6) AS misjudge_1,
-    round(count(*) FILTER (WHERE t >= 3 AND t < 4 AND p < 3) / nullif(count(*) FILTER (WHERE t >= 3), 0), 6) AS misjudge_2, round(corr(t, p), 6) AS pearson"""
+    round(count(*) FILTER (WHERE t >= 3 AND t < 4 AND p < 3) / nullif(count(*) FILTER (WHERE t >= 3), 0), 6) AS misjudge_2, CASE WHEN NOT isnan(corr(t, p)) THEN round(corr(t, p), 6) END AS pearson"""
 
 
 def _pairs(spark, d):
@@ -125,7 +125,7 @@ def rater_scores_by_source(spark, d):
 @query(f"""WITH {RATED}, {_TRUTH}, a AS (SELECT sample_index, criterion, t FROM truth UNPIVOT (t FOR criterion IN ({", ".join(METRICS)}))), b AS (SELECT document_index, criterion, p FROM rated UNPIVOT (p FOR criterion IN ({", ".join(METRICS)}))),
     x AS (SELECT a.criterion, t, p FROM a JOIN b ON a.sample_index = b.document_index AND a.criterion = b.criterion),
     k AS (SELECT *, rank() OVER (PARTITION BY criterion ORDER BY t) + (count(*) OVER (PARTITION BY criterion, t) - 1) / 2 AS rt, rank() OVER (PARTITION BY criterion ORDER BY p) + (count(*) OVER (PARTITION BY criterion, p) - 1) / 2 AS rp FROM x)
-    SELECT criterion, {_REPORT}, round(corr(rt, rp), 6) AS spearman FROM k GROUP BY 1""")
+    SELECT criterion, {_REPORT}, CASE WHEN NOT isnan(corr(rt, rp)) THEN round(corr(rt, rp), 6) END AS spearman FROM k GROUP BY 1""")
 def rater_scores_by_criterion(spark, d):
     pairs = rater.rating_pairs(_truth(spark, d).withColumnRenamed("sample_index", "k"), rated(spark, d).withColumnRenamed("document_index", "k"), "k", METRICS)
     return rounded(rater.all_rating_report(pairs))
