@@ -152,7 +152,11 @@ def _bound(k: int):
     def rule(b: Batch, texts: np.ndarray) -> np.ndarray:
         a, e, h = b.grams(b.of(texts), k)
         again = _not_first_fast(h, a)
-        return b.covered(a[again], e[again])
+        if k > 1:
+            return b.covered(a[again], e[again])
+        # Single words leave out the blanks between them, which a repeated run includes: two neighbours are covered as one.
+        both = np.flatnonzero(again[:-1] & again[1:] & (a[1:] == a[:-1] + 1) & (b.text[a[1:]] == b.text[a[:-1]]))
+        return b.covered(np.concatenate([a[again], a[both]]), np.concatenate([e[again], e[both + 1]]))
 
     return rule
 
