@@ -544,5 +544,6 @@ def follows(response: Column, checks: Sequence[tuple], loose: bool = False) -> C
     """Array of booleans, one a check: whether the response (loose: any of its variants) is not blank and passes."""
     one = lambda r, name, *args: F.coalesce((F.trim(r) != "") & CHECKS[name](r, *args), F.lit(False))
     if loose:
-        return F.array(*[F.exists(loose_variants(response), lambda r, c=c: one(r, *c)) for c in checks])
+        passes = lambda c: lambda r: one(r, *c)
+        return F.array(*[F.exists(loose_variants(response), passes(c)) for c in checks])
     return F.array(*[one(response, *c) for c in checks])
