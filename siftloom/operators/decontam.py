@@ -41,16 +41,29 @@ def overlap(train: DataFrame, key: str, text: str, held_out: DataFrame, held_key
     return hits.groupBy(held_key).agg(F.countDistinct("ngram").alias("n_grams"), F.countDistinct(key).alias("n_docs"))
 
 
+def _first_words(grams: set[str]) -> frozenset[str]:
+    return frozenset(g.split(" ", 1)[0] for g in grams)
+
+
 def split_words(text: str) -> list[tuple[int, int]]:
     """(start, end exclusive) of each run without white space."""
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
-def dirty_spans(text: str, dirt: set[str], n: int) -> list[tuple[int, int]]:
-    """Spans of the word n-grams whose normal form is registered, end exclusive."""
+def dirty_spans(text: str, dirt: set[str], n: int, first: frozenset[str] | None = None) -> list[tuple[int, int]]:
+    """Spans of the word n-grams whose normal form is registered, end exclusive.
+
+    ``first`` may hold the first words of the registered n-grams: only runs that begin with one are looked up.
+    """
     at = split_words(text)
-    words = [text[a:b] for a, b in at]
-    return [(at[i][0], at[i + n - 1][1]) for i in range(len(words) - n + 1) if _normal(" ".join(words[i : i + n])) in dirt]
+    if len(at) < n or not dirt:
+        return []
+    words = _normal("\n".join([text[a:b] for a, b in at])).split("\n")
+    found = []
+    for i in range(len(words) - n + 1):
+        if (first is None or words[i] in first) and " ".join(words[i : i + n]) in dirt:
+            found.append((at[i][0], at[i + n - 1][1]))
+    return found
 
 
 def clean_chunks(text: str, spans: list[tuple[int, int]], window: int = 200, most: int = 10, least: int = 200) -> list[str]:
@@ -84,7 +97,8 @@ def decontaminate(docs: DataFrame, key: str, text: str, held_out: DataFrame, hel
     dirt = gram_table(held_out.withColumn("_k", F.lit(0)), "_k", held_text, n).select("ngram").distinct()
     kind = dict(docs.dtypes)[key]
     if dirt.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        shared = docs.sparkSession.sparkContext.broadcast({r.ngram for r in dirt.collect()})
+        grams = {r.ngram for r in dirt.collect()}
+        shared = docs.sparkSession.sparkContext.broadcast((grams, _first_words(grams)))
         rows = docs.select(key, text).withColumn("_d", F.lit(None).cast("array<string>"))
     else:
         shared = None
@@ -97,8 +111,8 @@ def decontaminate(docs: DataFrame, key: str, text: str, held_out: DataFrame, hel
             out = []
             for k, t, d in zip(pdf[key], pdf[text], pdf["_d"]):
                 if t is not None:
-                    bad = shared.value if shared is not None else set(d) if d is not None else set()
-                    out += [(k, i, c) for i, c in enumerate(clean_chunks(t, dirty_spans(t, bad, n), window, most, least))]
+                    bad, first = shared.value if shared is not None else (set(d) if d is not None else set(), None)
+                    out += [(k, i, c) for i, c in enumerate(clean_chunks(t, dirty_spans(t, bad, n, first), window, most, least))]
             yield pd.DataFrame(out, columns=[key, "chunk", "text"])
 
     return rows.mapInPandas(run, f"`{key}` {kind}, chunk int, text string")

@@ -55,10 +55,10 @@ def score_report(df: DataFrame, by: list[str], truth: str, predicted: str) -> Da
 
 
 def rating_pairs(true: DataFrame, predicted: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """``key, criterion, truth, predicted`` of rows rated on both sides."""
-    a = true.unpivot([key], metrics, "criterion", "truth")
-    b = predicted.unpivot([key], metrics, "criterion", "predicted")
-    return a.join(b, [key, "criterion"])
+    """``key, criterion, truth, predicted`` of rows on both sides: joined once as they are, then spread over the criteria."""
+    both = true.select(key, *[F.col(m).alias(f"t_{m}") for m in metrics]).join(predicted.select(key, *[F.col(m).alias(f"p_{m}") for m in metrics]), key)
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("criterion"), F.col(f"t_{m}").alias("truth"), F.col(f"p_{m}").alias("predicted")) for m in metrics]))
+    return both.select(key, pairs.alias("x")).select(key, "x.*")
 
 
 def all_rating_report(pairs: DataFrame) -> DataFrame:
