@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from siftloom.functions.labels import canonical_source
 from siftloom.session import checkpointed
 
-from .common import hinted
+from .common import BROADCAST_ROWS, hinted
 
 KEY = ["dataset", "source"]
 
@@ -33,21 +33,21 @@ def targets(mix_targets: DataFrame) -> DataFrame:
     ).groupBy("source").agg(F.max("keep_fraction").alias("keep_fraction"))
 
 
-def _round(values: DataFrame, state: DataFrame) -> DataFrame:
-    """One round: the state with cutoff, or narrower bounds, of each source."""
-    few = hinted(state)
-    live = values.join(few.select(*KEY, "low", "high"), KEY).where(
+def _round(values: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """One round: the state with cutoff, or narrower bounds, of each source. ``few``: whether the state may be broadcast."""
+    mark = F.broadcast if few else lambda df: df
+    live = values.join(mark(state.select(*KEY, "low", "high")), KEY).where(
         (F.col("low").isNull() | (F.col("score") > F.col("low"))) & (F.col("high").isNull() | (F.col("score") < F.col("high")))
     )
     local = live.groupBy(*KEY, F.spark_partition_id().alias("part")).agg(F.expr("percentile(score, 0.5, n)").alias("median"), F.sum("n").alias("weight"))
     pivots = local.groupBy(*KEY).agg(F.expr("percentile(median, 0.5, weight)").alias("pivot"))
-    at = live.join(hinted(checkpointed(pivots)), KEY)
+    at = live.join(mark(pivots), KEY)
     over = at.groupBy(*KEY).agg(
         F.max("pivot").alias("pivot"), F.sum(F.when(F.col("score") > F.col("pivot"), F.col("n")).otherwise(0)).alias("gt"),
         F.sum(F.when(F.col("score") == F.col("pivot"), F.col("n")).otherwise(0)).alias("eq"),
     )
     up, here = F.col("rank") <= F.col("gt"), F.col("rank") <= F.col("gt") + F.col("eq")
-    return few.join(over, KEY).select(
+    return mark(state).join(over, KEY).select(
         *KEY,
         F.when(up | here, F.col("rank")).otherwise(F.col("rank") - F.col("gt") - F.col("eq")).alias("rank"),
         F.when(up, F.col("pivot")).otherwise(F.col("low")).alias("low"),
@@ -80,8 +80,8 @@ def cutoffs(records: DataFrame, mix_targets: DataFrame) -> DataFrame:
     state = goals.where("target_kept > 0").select(*KEY, F.col("target_kept").alias("rank"), none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("above"), none.alias("cutoff"), F.lit(None).cast("long").alias("ties"))
     done = state.where("false")
     state = checkpointed(state)
-    while state.count():
-        state = checkpointed(_round(values, state))
+    while open_ := state.count():
+        state = checkpointed(_round(values, state, open_ <= BROADCAST_ROWS))
         done = done.unionByName(state.where("cutoff is not null"))
         state = state.where("cutoff is null")
     done = done.select(*KEY, "cutoff", "above", "ties")
