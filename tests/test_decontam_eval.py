@@ -166,3 +166,21 @@ def test_scoring_and_cache(spark):
 
     answered, grown = score.with_cache(requests, cache, answer)
     assert sorted((r.q or "", r.output) for r in answered.collect()) == [("", "new"), ("q1", "old"), ("q2", "new"), ("q2", "new")] and asked == [2] and grown.count() == 3
+
+
+def test_references_and_fields(spark):
+    assert run(spark, evaluate.rouge(F.col("a"), F.col("b")), a="The cat, sat", b="the cat ran") == pytest.approx(2 / 3)
+    assert run(spark, evaluate.rouge(F.col("a"), F.col("b"), 2), a="the cat sat", b="a dog") == 0.0
+    gap = run(spark, evaluate.reference_gap(F.col("t"), F.col("f"), lambda r: evaluate.rouge(F.col("p"), r)), t=["big cat", "cat"], f=["dog"], p="cat")
+    assert (gap.best, gap.diff, gap.acc) == (1.0, 1.0, 1.0)
+    logs = F.array(*[F.log(F.lit(x)) for x in (0.5, 0.25, 0.25)])
+    assert run(spark, evaluate.true_mass(logs, F.array(F.lit(1), F.lit(0), F.lit(1)))) == pytest.approx(0.75)
+    assert tuple(run(spark, evaluate.likelihood_preference(F.lit(-1.0), F.lit(-3.0)))) == (2.0, 1.0)
+    assert run(spark, evaluate.leave_one_out(F.col("r")), r=["a", "b", "c"]) == [["b", "c"], ["a", "c"], ["a", "b"]] and run(spark, evaluate.leave_one_out(F.col("r")), r=["a"]) == [["a"]]
+    df = spark.createDataFrame([("q", 2, ("z",))], "a string, n int, s struct<t: string>")
+    get = lambda spec: df.select(evaluate.resolve(spec, df.columns).alias("x")).first().x
+    assert [get(x) for x in ("a", "Q: {{a}} {{s.t}}", "12", "['x', 'y']", 3, ["a", "lit"], "plain")] == ["q", "Q: q z", 12, ["x", "y"], 3, ["q", "lit"], "plain"]
+    with pytest.raises(ValueError):
+        get("{{missing}}")
+    shots = F.array(F.struct(F.lit(2).alias("shot"), F.lit("two").alias("text")), F.struct(F.lit(1).alias("shot"), F.lit("one").alias("text")))
+    assert run(spark, evaluate.fewshot_context(F.lit("D. "), shots, F.lit("Q"))) == "D. one\n\ntwo\n\nQ"
