@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a packing group on average, besides its bound in tokens.
+GROUP_ROWS = 500_000
 PACKED = "doc_id bigint, part int, n_tokens bigint, bin_id bigint, bin_offset bigint"
 
 
@@ -87,8 +89,8 @@ def pack(sizes: DataFrame, capacity: int = 2048, group_tokens: int = 16_000_000)
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     items = sizes.select("doc_id", "n_tokens").where("n_tokens > 0")
-    total = items.agg(F.sum("n_tokens")).first()[0] or 0
-    groups = max(1, -(-total // max(group_tokens, capacity)))
+    total, rows = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    groups = max(1, -(-total // max(group_tokens, capacity)), -(-rows // GROUP_ROWS))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
@@ -110,7 +112,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, group_tokens: int = 16_000_000)
             "part": part.astype(np.int32), "n_tokens": size, "bin_id": bins + (int(key[0]) << 32), "bin_offset": offset,
         })
 
-    group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("n_tokens")), F.lit(groups))
+    group = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.monotonically_increasing_id()), F.col("n_tokens")), F.lit(groups))
     return items.withColumn("packing_group", group).groupBy("packing_group").applyInPandas(fill, PACKED)
 
 

@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WORDS, CHARS = 5, 10
 THRESHOLD = 0.3
@@ -234,7 +235,8 @@ def repetitive(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts repeat nothing. A repeated row is judged each time; a null id is kept as null.
     An empty table gives no row. Texts are read whole.
     """
-    rows = documents.select("text").where("text is not null").sample(0.05, seed=11).limit(SAMPLE_TEXTS).collect()
+    short = F.length("text") <= SAMPLE_CHARS // 20
+    rows = documents.select("text").where(short).sample(0.05, seed=11).limit(SAMPLE_TEXTS).collect()
     sample, chars = [], 0
     for r in rows:
         if chars + len(r.text) <= SAMPLE_CHARS:

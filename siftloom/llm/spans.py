@@ -37,6 +37,8 @@ from .common import hinted
 
 MIN_LENGTH = 300
 SALTS = 16
+#: Places (4 bytes each) that may be broadcast together with the ids of their texts.
+BROADCAST_PLACES = 8_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -162,8 +164,8 @@ def shared_windows(documents: DataFrame, min_length: int = MIN_LENGTH) -> tuple[
                 cols = [_long(h), pa.array(prev.view(np.int64), pa.int64(), mask=first), _long(docs), pa.array(start, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["hash", "prev", "doc_id", "start"])
 
-    # Places of a document are at most 2 % of its code points, so few documents make a small table.
-    held = texts.join(hinted(places), "doc_id").select("doc_id", "text", "places")
+    size = places.agg(F.sum(F.size("places") + 8)).first()[0] or 0
+    held = texts.join(F.broadcast(places) if size <= BROADCAST_PLACES else places, "doc_id").select("doc_id", "text", "places")
     return held.mapInArrow(expand, "hash bigint, prev bigint, doc_id bigint, start int"), same
 
 
