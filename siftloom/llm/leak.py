@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 BLOCK_ITEMS = 20_000
 #: An n-gram of this many tokens that stands in so many items is part of a shared stem.
 STEM_TOKENS, STEM_ITEMS = 4, 3
-#: Unchanged tokens beyond shared stems that a run must hold: so many, and this part of all such tokens of the item.
-OWN_TOKENS, OWN_PART = 3, 5
+#: Unchanged tokens beyond shared stems that a run must hold: so many, and one in so many of all such tokens of the item.
+OWN_TOKENS, OWN_PART = 3, 4
 CHANGES = 2
 K1, B = 1.2, 0.75
 _CHUNK_CHARS = 2_000_000
