@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 BLOCK_ITEMS = 20_000
 #: An n-gram of this many tokens that stands in so many items is part of a shared stem.
 STEM_TOKENS, STEM_ITEMS = 4, 3
-#: Unchanged tokens beyond shared stems that a run must hold: so many, and one in so many of all such tokens of the item.
+#: Unchanged tokens beyond shared stems with which any run counts: so many, and one in so many of all such tokens of the item.
+#: With fewer a run counts if the text holds half of the item without the dropped tokens, and of the run's tokens beyond
+#: stems as many are unchanged as changed, one at least. Below that a stem with a common word behind it would count.
 OWN_TOKENS, OWN_PART = 3, 4
 CHANGES = 2
 K1, B = 1.2, 0.75
@@ -301,10 +303,15 @@ def best_run(ix: Index, item: int, d: list[int], diagonals: list[int]) -> tuple[
             j = i + g
             if q[i] != d[j] or (i and j and q[i - 1] == d[j - 1]):
                 continue
-            e, f, equal = _reach(q, d, own, i, j, CHANGES)
-            share = float(w[e] - w[i]) / float(w[-1])
-            if share > best[0] and equal >= least:
-                best = (share, j, f)
+            for changes in range(CHANGES, -1, -1):
+                e, f, equal = _reach(q, d, own, i, j, changes)
+                share = float(w[e] - w[i]) / float(w[-1])
+                if share <= best[0]:
+                    break
+                held = w[e] - w[i] - max(0, (e - i) - (f - j))
+                if equal >= least or (2 * equal >= max(2, own[e] - own[i]) and 2 * held >= w[-1]):
+                    best = (share, j, f)
+                    break
     return best
 
 

@@ -88,6 +88,28 @@ def test_retrieval_loses_nothing(monkeypatch, spark):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("changes", [0, 1, 2])
+def test_halves_over_a_long_stem(changes):
+    """Every exact half with inner changes, as long as no more words beyond the stem are changed than kept."""
+    stem = "how should a reader respond after learning that this".split()
+    rng = random.Random(5)
+    rows = [(i, " ".join([*(f"{rng.choice(WORDS)}{i}x{k}" for k in range(8)), *stem, *(f"{rng.choice(WORDS)}{i}y{k}" for k in range(7))]), [], 0) for i in range(6)]
+    ix = leak.build_index(rows, {" ".join(stem[i : i + 4]) for i in range(len(stem) - 3)})
+    texts, want = ["so " + " ".join(stem) + " on"], set()
+    for i, query, *_ in rows:
+        words = query.split()
+        for a in range(len(words) // 2 + 1):
+            part, own = words[a : a + 12], sum(w not in stem for w in words[a : a + 12])
+            for k in rng.sample(range(1, 11), changes):
+                part[k] = "changed"
+            kept = sum(w not in stem and w != "changed" for w in part)
+            if kept >= max(1, own - kept):
+                want.add((len(texts), i))
+            texts.append("some filler " + " ".join(part) + " and more")
+    assert len(want) >= (78 if changes < 2 else 74)
+    assert {(t, i) for t, i, *_ in leak.search(ix, texts)} == want
+
+
 def test_blocks_of_items_give_the_same(monkeypatch, spark):
     rows = items(25)
     docs = [(i, NOISE + r[1]) for i, r in enumerate(rows)]
