@@ -114,11 +114,11 @@ def loss_mask(prompt: Column, response: Column, most: int, ignore: int = -100) -
     return F.struct(ids.alias("input_ids"), labels.alias("labels"))
 
 
-def chat_loss_mask(messages: Column, encode: Callable[[Column], Column], most: int, pad: int = 0, ignore: int = -100) -> Column:
-    """``input_ids, labels, attention_mask`` of a chat: only assistant turns are learned, right-padded or cut to ``most``."""
+def chat_loss_mask(messages: Column, encode: Callable[[Column], Column], most: int | None, pad: int = 0, ignore: int = -100) -> Column:
+    """``input_ids, labels, attention_mask`` of a chat: only assistant turns are learned, right-padded or cut to ``most``; whole and without padding if that is None."""
     ids = F.flatten(F.transform(messages, lambda m: encode(m["content"])))
     labels = F.flatten(F.transform(messages, lambda m: F.when(m["role"] == "assistant", encode(m["content"])).otherwise(F.transform(encode(m["content"]), lambda x: F.lit(ignore)))))
-    fill = lambda a, v: F.slice(F.concat(a, F.array_repeat(F.lit(v), F.greatest(F.lit(most) - F.size(a), F.lit(0)).cast("int"))), 1, most)
+    fill = lambda a, v: a if most is None else F.slice(F.concat(a, F.array_repeat(F.lit(v), F.greatest(F.lit(most) - F.size(a), F.lit(0)).cast("int"))), 1, most)
     return F.struct(fill(ids, pad).alias("input_ids"), fill(labels, ignore).alias("labels"), fill(F.transform(ids, lambda x: F.lit(1)), 0).alias("attention_mask"))
 
 

@@ -83,20 +83,31 @@ def training_samples(spark, d):
     return built.select("source", F.explode("messages").alias("m")).groupBy("source", "m.role").agg(F.count("*").alias("n"), F.sum(F.length("m.content")).alias("chars"))
 
 
-@query(f"""WITH t AS (SELECT request_id, [length(w) FOR w IN regexp_split_to_array({_REQUEST}, '\\s+') IF w <> ''] AS p, [length(w) FOR w IN regexp_split_to_array(coalesce(gpt_response, ''), '\\s+') IF w <> ''] AS r FROM gpt_responses)
-    SELECT request_id, 64 AS n, least(len(p) + len(r), 64) AS attended, greatest(least(len(p) + len(r), 64) - len(p), 0) AS learned, CAST(coalesce(list_sum((p || r)[1:64]), 0) AS BIGINT) AS id_sum FROM t""")
-def chat_loss_mask(spark, d):
-    """Word lengths stand in for token ids."""
+def _masked_chats(spark, d, most: int | None):
     rows = table(spark, d, "gpt_responses").select("request_id", F.try_element_at(F.filter("request_json.messages", lambda m: m["role"] == "user"), F.lit(-1)).alias("u"), F.coalesce("gpt_response", F.lit("")).alias("a"))
     chat = F.array(F.struct(F.lit("user").alias("role"), F.col("u.content").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("a").alias("content")))
     encode = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), F.length)
-    masked = rows.select("request_id", chunk.chat_loss_mask(chat, encode, 64).alias("m"))
+    masked = rows.select("request_id", chunk.chat_loss_mask(chat, encode, most).alias("m"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     return masked.select(
         "request_id", F.size("m.input_ids").alias("n"), total(F.col("m.attention_mask")).cast("int").alias("attended"), F.size(F.filter("m.labels", lambda x: x != -100)).alias("learned"), total(F.col("m.input_ids")).alias("id_sum"),
     )
 
 
+@query(f"""WITH t AS (SELECT request_id, [length(w) FOR w IN regexp_split_to_array({_REQUEST}, '\\s+') IF w <> ''] AS p, [length(w) FOR w IN regexp_split_to_array(coalesce(gpt_response, ''), '\\s+') IF w <> ''] AS r FROM gpt_responses)
+    SELECT request_id, 64 AS n, least(len(p) + len(r), 64) AS attended, greatest(least(len(p) + len(r), 64) - len(p), 0) AS learned, CAST(coalesce(list_sum((p || r)[1:64]), 0) AS BIGINT) AS id_sum FROM t""")
+def chat_loss_mask(spark, d):
+    """Word lengths stand in for token ids. Cut to 64 words, which most prompts fill alone; ``chat_loss_mask_whole`` has the answers."""
+    return _masked_chats(spark, d, 64)
+
+
+@query(f"""WITH t AS (SELECT request_id, [length(w) FOR w IN regexp_split_to_array({_REQUEST}, '\\s+') IF w <> ''] AS p, [length(w) FOR w IN regexp_split_to_array(coalesce(gpt_response, ''), '\\s+') IF w <> ''] AS r FROM gpt_responses)
+    SELECT request_id, len(p) + len(r) AS n, len(p) + len(r) AS attended, len(r) AS learned, CAST(coalesce(list_sum(p || r), 0) AS BIGINT) AS id_sum FROM t""")
+def chat_loss_mask_whole(spark, d):
+    """Whole conversations, so that every word of every answer is learned."""
+    return _masked_chats(spark, d, None)
+
+
 def _truth(spark, d):
     s = stats(spark, d)
     whole = [F.when(F.col(m) < 3, F.floor(m)).otherwise(F.ceil(m)).cast("int").alias(m) for m in METRICS]

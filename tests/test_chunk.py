@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.operators import chunk
+from siftloom.plans import catalog
 
 
 def frame(spark, arrays):
@@ -110,3 +111,12 @@ def test_random_chunk_and_infill(spark):
                 cur.append(x)
         assert [y for x in body for y in (spans[x] if x in spans else [x])] == t
         assert r.id != 0 or spans
+
+
+def test_whole_chats_learn_every_answer(spark, tmp_path):
+    prompt, answer = " ".join(["ask"] * 100), " ".join(["word"] * 90)
+    message = "struct<model: string, messages: array<struct<role: string, content: string>>>"
+    rows = [(1, ("m", [("user", prompt)]), answer), (2, ("m", [("user", "one two")]), None), (3, ("m", [("user", "one")]), "a b")]
+    spark.createDataFrame(rows, f"request_id long, request_json {message}, gpt_response string").write.parquet(f"{tmp_path}/gpt_responses.parquet")
+    got = {r.request_id: tuple(r)[1:] for r in catalog.queries()["chat_loss_mask_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (190, 190, 90, 660), 2: (2, 2, 0, 6), 3: (3, 3, 2, 5)}
