@@ -74,12 +74,12 @@ class UnigramModel:
     def fit(cls, texts: Sequence[str]) -> UnigramModel:
         return cls(dict(Counter(w for t in texts for w in t.split())))
 
-    def __call__(self, texts: Sequence[str], most: int) -> list[list[float]]:
-        return [[math.log((self.counts.get(w, 0) + 1) / self.total) for w in t.split()[: most + 1]] for t in texts]
+    def __call__(self, texts: Sequence[str], most: int | None) -> list[list[float]]:
+        return [[math.log((self.counts.get(w, 0) + 1) / self.total) for w in t.split()[: None if most is None else most + 1]] for t in texts]
 
 
-def token_logprobs(df: DataFrame, key: str, text: str, factory: Callable[[], Callable], name: str, most: int = 2048) -> DataFrame:
-    """``key, logprobs``: log probability of each of the first ``most`` + 1 tokens under the model."""
+def token_logprobs(df: DataFrame, key: str, text: str, factory: Callable[[], Callable], name: str, most: int | None = 2048) -> DataFrame:
+    """``key, logprobs``: log probability of each of the first ``most`` + 1 tokens under the model; of all tokens if that is None, for models without a context."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -137,9 +137,9 @@ def decontaminated_chunks(spark, d):
 
 @query()
 def perplexity_scores(spark, d):
-    """Unigram perplexity by a model fitted on the fixed test items; the reduction from log probabilities is SQL."""
+    """Unigram perplexity of whole texts by a model fitted on the fixed test items; the reduction from log probabilities is SQL."""
     items = [r.query for r in table(spark, d, "eval_items").select("query").collect()]
-    logs = score.token_logprobs(table(spark, d, "documents"), "doc_id", "text", lambda: score.UnigramModel.fit(items), "unigram")
+    logs = score.token_logprobs(table(spark, d, "documents"), "doc_id", "text", lambda: score.UnigramModel.fit(items), "unigram", most=None)
     return logs.select("doc_id", F.size("logprobs").alias("n"), F.round(score.perplexity(F.col("logprobs")), 6).alias("ppl"))
 
 

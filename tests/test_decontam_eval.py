@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.operators import decontam, evaluate, score
+from siftloom.plans import catalog
 
 
 def test_ngrams_and_overlap(spark):
@@ -149,6 +150,15 @@ def test_instruction_checks(spark):
     assert run(spark, evaluate.follows(F.col("r"), [("no_comma",)]), r="  ") == [False]
 
 
+def test_perplexity_of_whole_texts(spark, tmp_path):
+    """A text beyond 2,049 words whose end differs from its beginning."""
+    spark.createDataFrame([("known",)], "query string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(1, "known " * 2049 + "new " * 951), (2, "known"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.ppl) for r in catalog.queries()["perplexity_scores"](spark, str(tmp_path)).collect()}
+    logs = [math.log(2 / 3)] * 2049 + [math.log(1 / 3)] * 951
+    assert got[1] == (3000, round(math.exp(-sum(logs) / 3000), 6)) and got[2] == (1, 1.5) and got[3] == (0, 1.0)
+
+
 def test_scoring_and_cache(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b c d")], "id int, text string").repartition(2)
     first = {r.id: r.output for r in score.annotate(df, F.col("text"), score.HeuristicScorer, "test").collect()}
