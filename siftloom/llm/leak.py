@@ -157,7 +157,7 @@ def build_index(rows: list, stems: set[str], block: int = 16) -> Index | None:
                 break
             longest = max(longest, j - i)
             run = sorted({t: impacts[k][t] for t in p[i : j - 1].tolist()}.values())
-            least = min(least, sum(run[: len(run) - 2 * CHANGES]))
+            least = min(least, sum(run[: max(0, len(run) - 2 * CHANGES)]))
             fewest = min(fewest, j - 1 - i - 2 * CHANGES)
         threshold[k], need[k] = max(least - 1e-6, 1e-9), max(fewest, 1)
     order = np.lexsort((place, item, flat))

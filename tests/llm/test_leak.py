@@ -110,6 +110,23 @@ def test_halves_over_a_long_stem(changes):
     assert {(t, i) for t, i, *_ in leak.search(ix, texts)} == want
 
 
+@pytest.mark.parametrize("size", [7, 8])
+def test_halves_of_short_items(size):
+    """Of half of such an item one changed word leaves one term, by which it must be retrieved."""
+    rows = [(i, " ".join(f"{w}{i}" for w in WORDS[:size]), [], 0) for i in range(20)]
+    ix = leak.build_index(rows, set())
+    texts, want = [], set()
+    for i, query, *_ in rows:
+        words = query.split()
+        for a in range(size - 3):
+            for k in (1, 2):
+                part = words[a : a + 4]
+                part[k] = "changed"
+                want.add((len(texts), i))
+                texts.append("some filler " + " ".join(part) + " and more")
+    assert {(t, i) for t, i, *_ in leak.search(ix, texts)} == want
+
+
 def test_blocks_of_items_give_the_same(monkeypatch, spark):
     rows = items(25)
     docs = [(i, NOISE + r[1]) for i, r in enumerate(rows)]
