@@ -72,6 +72,13 @@ def rank_stride(df: DataFrame, row: str, rank: int, world: int, limit: int | Non
     return mine if limit is None else mine.where(F.col(row) < limit)
 
 
+def rank_strides(df: DataFrame, order: str, world: int, limit: int | None = None) -> DataFrame:
+    """Every row, or the first ``limit`` by ``order``, with the ``rank`` whose stride over row numbers from 0 holds it."""
+    numbered = running_total(df, [], [F.col(order)], {"_place": F.lit(1)})
+    numbered = numbered if limit is None else numbered.where(F.col("_place") <= limit)
+    return numbered.withColumn("rank", (F.col("_place") - 1) % world).drop("_place")
+
+
 def fewshot(docs: DataFrame, pool: DataFrame, by: str, doc: str, k: int, order: list[Column]) -> DataFrame:
     """``doc, shot, example``: ``k`` examples of the same group for each document, never itself.
 

@@ -164,9 +164,15 @@ def sample_per_source(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 4 = 1 AND doc_id < 5000")
 def rank_strided(spark, d):
+    """One rank of four among ids under 5,000, by the value of ids that aren't dense; ``rank_strided_all`` has every row."""
     return sample.rank_stride(table(spark, d, "documents").select("doc_id"), "doc_id", 1, 4, 5000)
 
 
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 4 AS rank FROM documents")
+def rank_strided_all(spark, d):
+    return sample.rank_strides(table(spark, d, "documents").select("doc_id"), "doc_id", 4)
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS c FROM documents) WHERE n <= ceil(c * 0.05)")
 def limit_fraction(spark, d):
     return sample.limit_fraction(table(spark, d, "documents").select("doc_id"), 0.05, "doc_id")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftloom.operators import prefix, sample, select
+from siftloom.plans import catalog
 
 
 def attributes(spark, rows):
@@ -162,3 +163,14 @@ def test_choices_and_order(spark):
     order = sample.length_order(df.withColumn("n", F.col("id")), F.col("n"), "id").collect()
     assert {r.id: r.place for r in order} == {1: 2, 2: 1}
     assert sample.rank_stride(df, "id", 1, 2).count() == 1
+
+
+def test_rank_strides_hold_every_row(spark, tmp_path):
+    """By row number: ids that aren't dense, far beyond any bound on their value."""
+    ids = [3, 7, 8, 4999, 5000, 70_000, 70_001, 10**12, 10**12 + 9]
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "doc_id long").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.queries()["rank_strided_all"](spark, str(tmp_path)).collect()}
+    assert got == {(x, k % 4) for k, x in enumerate(ids)}
+    first = {tuple(r) for r in sample.rank_strides(df, "doc_id", 4, 6).collect()}
+    assert first == {(x, k % 4) for k, x in enumerate(ids[:6])}
