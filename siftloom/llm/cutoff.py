@@ -92,5 +92,9 @@ def cutoffs(records: DataFrame, mix_targets: DataFrame) -> DataFrame:
 
 
 def kept(records: DataFrame, found: DataFrame) -> DataFrame:
-    """The records at or above their source's cutoff, with all their columns and ``cutoff``."""
-    return records.join(hinted(found.where("cutoff is not null").select(*KEY, "cutoff")), KEY).where("score >= cutoff")
+    """The records at or above their source's cutoff, with all their columns and the source's ``cutoff, target_kept, kept``.
+
+    A record without a usable score is never kept; where the fraction keeps all scored
+    records the cutoff is their least score, so it changes nothing for them.
+    """
+    return records.join(hinted(found.where("cutoff is not null").select(*KEY, "cutoff", "target_kept", "kept")), KEY).where("score >= cutoff and not isnan(score) and score < double('infinity')")

@@ -8,10 +8,19 @@ cannot take goes to its siblings; only what no sibling can take is left to the l
 above, because a node never receives more than its subtree can hold. Each leaf then
 takes whole seeded epochs and, of the last epoch, the prefix that meets its budget.
 
-Scale: the tree has one row a leaf. The filling level of a node is closed form over
-its children in order of capacity per weight, a window over a few rows. The prefix
-is cut in two steps, by hash range and then inside the one range that straddles the
-budget, so no task sorts a whole leaf even if it holds a third of all texts.
+Prefixes end between texts, so what one leaf leaves over, or takes too much, is settled
+with the other leaves of its source: the texts of a source are taken in the order of
+their place in the leaf's epoch over the part of it that the leaf should get, until the
+source has its budget. So a leaf ends within a text or so of its budget, and a source
+within half the text at its cut, however small its leaves are.
+
+Scale: the tree has one row a leaf, the places of the texts come from sums over
+``PARTS`` hash ranges of each leaf; both are broadcast behind a check. The filling level
+of a node is closed form over its children in order of capacity per weight, a window
+over a few rows. The cut of a source is found among as many levels as there are
+thousands of texts, and then inside the one level that straddles it, so no task sorts a
+whole source even if it holds a third of all texts. Texts themselves are shuffled only
+in that level.
 """
 
 from __future__ import annotations
@@ -22,8 +31,13 @@ from pyspark.sql import functions as F
 from siftloom.functions.labels import canonical_source
 from siftloom.session import checkpointed
 
+from .common import hinted
+
 LEAF = ["domain_type", "lang", "source"]
-RANGES = 1024
+#: Hash ranges of a leaf whose sums place its texts; a place is exact to a fraction of a range.
+PARTS = 128
+#: Texts a level holds on average.
+LEVEL_TEXTS = 2048
 
 
 def _fill(children: DataFrame, parent: list[str], budget: str) -> DataFrame:
@@ -81,38 +95,43 @@ def leaf_budgets(leaves: DataFrame, mix_targets: DataFrame, budget: float) -> Da
 def mix(sized: DataFrame, mix_targets: DataFrame, budget_fraction: float = 0.4, seed: int = 17) -> DataFrame:
     """One row for each text used: ``doc_id, source, lang, domain_type, n_tokens, copies``.
 
-    ``sized`` has ``doc_id, source, lang, domain_type, n_tokens`` with canonical labels.
-    The mix has ``budget_fraction`` times the tokens of ``sized``. A text is used at most
-    ``max_repeats`` times: whole epochs first, then the prefix of one seeded order whose
-    last text is taken if at least half of it fits. Texts without tokens are never used.
-    Repeated rows count as texts of their own. An empty table gives an empty mix.
+    ``sized`` has ``doc_id, source, lang, domain_type, n_tokens`` with canonical labels; it
+    is read three times, so it should be a table or checkpoint. The mix has
+    ``budget_fraction`` times the tokens of ``sized``. A text is used at most ``max_repeats``
+    times: whole epochs first, then the prefix of one seeded order. The text at a source's
+    cut is taken if at least half of it fits. Texts without tokens are never used. Repeated
+    rows count as texts of their own. An empty table gives an empty mix.
     """
-    bucket = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens")), 54)
-    texts = sized.select("doc_id", *LEAF, "n_tokens").where("n_tokens > 0").withColumn("bucket", bucket)
-    ranges = checkpointed(texts.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("bucket_tokens")))
-    leaves = ranges.groupBy(*LEAF).agg(F.sum("bucket_tokens").alias("leaf_tokens"))
-    total = ranges.agg(F.sum("bucket_tokens")).first()[0] or 0
-    budgets = leaf_budgets(leaves, mix_targets, total * budget_fraction)
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("n_tokens")), 11)  # 53 bits, exact as a double
+    texts = sized.select("doc_id", *LEAF, "n_tokens", (spot / F.lit(float(1 << 53)) * PARTS).alias("spot")).where("n_tokens > 0").withColumn("part", F.floor("spot"))
+    parts = checkpointed(texts.groupBy(*LEAF, "part").agg(F.sum("n_tokens").alias("part_tokens"), F.count("*").alias("n")))
+    leaves = parts.groupBy(*LEAF).agg(F.sum("part_tokens").alias("leaf_tokens"))
+    whole = parts.agg(F.sum("part_tokens").alias("tokens"), F.sum("n").alias("n")).first()
+    budgets = leaf_budgets(leaves, mix_targets, (whole.tokens or 0) * budget_fraction)
     epochs = F.least(F.floor(F.col("leaf_budget") / F.col("leaf_tokens")), F.col("max_repeats"))
-    budgets = budgets.withColumn("epochs", epochs).withColumn(
-        "rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("leaf_budget") - F.col("epochs") * F.col("leaf_tokens")).otherwise(F.lit(0.0))
-    )
-    along = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (
-        ranges.join(budgets.select(*LEAF, "epochs", "rest"), LEAF)
-        .withColumn("before", F.coalesce(F.sum("bucket_tokens").over(along), F.lit(0)))
-        .withColumn(
-            "place",
-            F.when(F.col("before") + F.col("bucket_tokens") <= F.col("rest"), "in").when(F.col("before") < F.col("rest"), "edge").otherwise("out"),
-        )
-        .drop("bucket_tokens")
-    )
-    placed = texts.join(cut, [*LEAF, "bucket"])
-    order = F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("n_tokens"))
-    inside = Window.partitionBy(*LEAF, "bucket").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("place = 'edge'").withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    edge = edge.withColumn("more", (F.col("before") + F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
-    rest = placed.where("place <> 'edge'").withColumn("more", (F.col("place") == "in").cast("int"))
+    rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("leaf_budget") - F.col("epochs") * F.col("leaf_tokens")).otherwise(F.lit(0.0))
+    budgets = checkpointed(budgets.withColumn("epochs", epochs).withColumn("rest", rest).select(*LEAF, "leaf_tokens", "epochs", "rest"))
+    before = F.coalesce(F.sum("part_tokens").over(Window.partitionBy(*LEAF).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = checkpointed(parts.withColumn("start", before).join(F.broadcast(budgets), LEAF).select(*LEAF, "part", "start", "part_tokens", "epochs", "rest"))
+    # 1 is where a leaf's prefix should end.
+    place = (F.col("start") + (F.col("spot") - F.col("part")) * F.col("part_tokens")) / F.col("rest")
+    levels = max(1024, (whole.n or 0) // LEVEL_TEXTS)
+    placed = texts.join(hinted(starts), [*LEAF, "part"]).withColumn("place", F.when(F.col("rest") > 0, place))
+    placed = placed.withColumn("level", F.floor(F.least("place", F.lit(16.0)) * levels)).drop("spot", "part", "start", "part_tokens", "rest")
+    goals = budgets.groupBy("source").agg(F.sum("rest").alias("goal"))
+    sums = placed.where("level is not null").groupBy("source", "level").agg(F.sum("n_tokens").alias("tokens"))
+    up_to = F.sum("tokens").over(Window.partitionBy("source").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    cuts = sums.withColumn("up_to", up_to).join(F.broadcast(goals), "source").where("up_to > goal").groupBy("source").agg(
+        F.min(F.struct("level", (F.col("up_to") - F.col("tokens")).alias("before"), "goal")).alias("cut")
+    )
+    cuts = checkpointed(cuts.select("source", F.col("cut.level").alias("cut"), "cut.before", "cut.goal"))
+    cut = placed.join(hinted(cuts), "source", "left")
+    at_cut = F.coalesce(F.col("level") == F.col("cut"), F.lit(False))
+    inside = Window.partitionBy("source").orderBy("place", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("n_tokens")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    edge = cut.where(at_cut).withColumn("before", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    edge = edge.withColumn("more", (F.col("before") + F.col("n_tokens") / 2 <= F.col("goal")).cast("int"))
+    # A source whose texts all fit has no cut.
+    rest = cut.where(~at_cut).withColumn("more", F.coalesce(F.col("level").isNotNull() & (F.col("cut").isNull() | (F.col("level") < F.col("cut"))), F.lit(False)).cast("int"))
     out = rest.unionByName(edge).withColumn("copies", (F.col("epochs") + F.col("more")).cast("int"))
     return out.where("copies > 0").select("doc_id", "source", "lang", "domain_type", "n_tokens", "copies")
 

@@ -35,15 +35,16 @@ def _scored(spark, d):
     )
 
 
-def p2_cutoffs(spark, d):
-    return cutoff.cutoffs(_scored(spark, d), read(spark, d, "mix_targets"))
-
-
 def p2_kept_records(spark, d):
+    """What the cutoffs keep, each record with its source's cutoff and kept size; ``p2_cutoffs`` is the report alone."""
     records = _scored(spark, d)
     return cutoff.kept(records, cutoff.cutoffs(records, read(spark, d, "mix_targets")))
 
 
+def p2_cutoffs(spark, d):
+    return cutoff.cutoffs(_scored(spark, d), read(spark, d, "mix_targets"))
+
+
 def p3_found(spark, d):
     return repeat.repetitive(read(spark, d, "documents"))
 

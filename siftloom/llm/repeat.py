@@ -31,18 +31,18 @@ THRESHOLD = 0.3
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 1_000_000
 _CHUNK_CHARS = 1_000_000
 _U = np.uint64
-_TABLE = 0x30000
-_HAN = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x2FA20))
+#: All code points; those from which none is a letter or digit, or has another case.
+_TABLE, _LETTERS, _CASED = 0x110000, 0x40000, 0x20000
+_HAN = ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x2FA20), (0x30000, 0x323B0))
 
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class of each code point (0 between words, 1 in a word, 2 a Chinese character) and its lower case."""
-    kind, low = np.zeros(_TABLE + 1, np.uint8), np.arange(_TABLE + 1, dtype=np.uint32)
-    for c in range(_TABLE):
-        s = chr(c)
-        kind[c] = s.isalnum()
-        if len(x := s.lower()) == 1:
+    kind, low = np.zeros(_TABLE, np.uint8), np.arange(_TABLE, dtype=np.uint32)
+    kind[:_LETTERS] = np.fromiter((chr(c).isalnum() for c in range(_LETTERS)), np.uint8, _LETTERS)
+    for c in np.flatnonzero(kind[:_CASED]).tolist():
+        if len(x := chr(c).lower()) == 1:
             low[c] = ord(x)
     for a, b in _HAN:
         kind[a:b] = 2
@@ -81,7 +81,7 @@ class Batch:
         kind, low = _tables()
         sizes = np.array([len(t) for t in texts], np.int64)
         raw = "\n".join(texts) + "\n"
-        codes = np.minimum(np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4"), _TABLE)
+        codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), "<u4")
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])
         self.sizes = sizes
         k = kind[codes]

@@ -41,7 +41,8 @@ def oracle_sql() -> dict[str, str]:
             FROM cut c JOIN scored s ON s.dataset = c.dataset AND s.source = c.source
             GROUP BY ALL""",
         "p2_kept_records": f"""WITH {_SCORED}
-            SELECT s.dataset, s.source, s.record, s.score, c.cutoff
+            SELECT s.dataset, s.source, s.record, s.score, c.cutoff, c.target_kept,
+                   count(*) OVER (PARTITION BY s.dataset, s.source) AS kept
             FROM scored s JOIN cut c ON s.dataset = c.dataset AND s.source = c.source
             WHERE s.score >= c.cutoff""",
     }

@@ -36,7 +36,9 @@ def test_equals_sorting(spark, seed):
     got = {(r.dataset, r.source): (r.n_records, r.n_scored, r.target_kept, r.cutoff, r.kept, r.kept_above) for r in found.collect()}
     want = brute(rows, fractions)
     assert got == want
-    kept = cutoff.kept(df.where("not isnan(score) and score < 1e9"), found).count()
+    rows_ = cutoff.kept(df, found).collect()
+    assert all((r.target_kept, r.cutoff, r.kept) == want[r.dataset, r.source][2:5] for r in rows_)
+    kept = len(rows_)
     assert kept == sum(v[4] for k, v in want.items() if k[1] is not None)
 
 

@@ -93,6 +93,22 @@ def test_budgets_equal_plain_filling(spark, seed):
                     assert got[k] == pytest.approx(v, abs=1e-6)
 
 
+def test_leaves_smaller_than_a_text_hand_on_what_they_leave(spark):
+    """A source of many leaves of one or two long texts each still gets its share, within a text."""
+    rng = random.Random(4)
+    docs = [(i, "ABCDEFGHIJKLMNO"[i % 15], ["en", "zh", "und"][i % 3], "spread", rng.randrange(300, 900)) for i in range(60)]
+    docs += [(1000 + i, "A", "en", "large", 100 + i % 50) for i in range(2000)]
+    sized = spark.createDataFrame(docs, "doc_id long, domain_type string, lang string, source string, n_tokens long")
+    t = spark.createDataFrame([("spread", 0.1, 0.05, 1), ("large", 0.1, 0.95, 2)], "source string, keep_fraction double, mix_weight double, max_repeats int")
+    total = sum(d[4] for d in docs)
+    for fraction in (0.05, 0.3, 0.6):
+        got = defaultdict(int)
+        for r in mix.mix(sized, t, fraction).collect():
+            got[r.source] += r.n_tokens * r.copies
+        want = {"spread": min(0.05 * fraction * total, sum(d[4] for d in docs[:60])), "large": 0.95 * fraction * total}
+        assert abs(got["spread"] - want["spread"]) <= 450 and abs(got["large"] - want["large"]) <= 75, (fraction, got, want)
+
+
 def test_mix_meets_shares_and_repeats(spark):
     docs = [(i, "ABC"[i % 3], "en", f"s{i % 2}", 10 + i % 7) for i in range(600)] + [(9999, "A", "en", "other", 50), (10000, "A", "en", "s0", 0)]
     sized = spark.createDataFrame(docs, "doc_id long, domain_type string, lang string, source string, n_tokens long")

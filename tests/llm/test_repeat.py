@@ -81,3 +81,13 @@ def test_empty_tables_and_shares(spark):
     assert repeat.repetitive(df).count() == 0 and repeat.repetition(df).count() == 0
     row = repeat.repetition(spark.createDataFrame([(1, "Same line here.\nsame line here.\nOther.")], "doc_id long, text string")).first()
     assert row.line_share == pytest.approx(15 / 38) and row.paragraph_share == 0
+
+
+def test_every_code_point_counts(spark):
+    """Letters of any plane repeat; none is folded into another."""
+    assert not any(chr(c).isalnum() for c in range(repeat._LETTERS, 0x110000)) and not any(chr(c).lower() != chr(c) for c in range(repeat._CASED, 0x110000))
+    g = "".join(chr(0x30000 + i) for i in range(60))
+    t = {1: g * 4, 2: g + "".join(chr(0x31350 + i) for i in range(120)), 3: "\U0001f600" * 200, 4: "𝔞𝔟𝔠 𝔡𝔢𝔣 𝔤𝔥𝔦 𝔧𝔨𝔩 𝔪𝔫𝔬 " * 5}
+    df = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    assert {r.doc_id for r in repeat.repetitive(df).collect()} == {1, 4}
+    assert {r.doc_id: r.repeated_chars for r in repeat.repetition(df).collect()}[1] == 180
