@@ -95,6 +95,10 @@ def p8_found(spark, d):
     return spans.shared_pairs(read(spark, d, "documents"))
 
 
+def p8_links(spark, d):
+    return spans.shared_links(read(spark, d, "documents"))
+
+
 def p8_shared_share(spark, d):
     return spans.shared_share(read(spark, d, "documents"))
 

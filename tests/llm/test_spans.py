@@ -45,6 +45,10 @@ def test_equals_brute_force(spark, seed):
     assert {tuple(r) for r in rows} == pairs and len(rows) == len(pairs)
     got = {r.doc_id: r.shared_chars for r in spans.shared_share(df, 30).collect()}
     assert got == cover
+    links = {r.doc_id: (r.class_id, r.n_copies, r.n_links) for r in spans.shared_links(df, 30).collect()}
+    for i, t in docs:
+        same = [j for j, u in docs if u == t] if len(t or "") >= 30 else [i]
+        assert links[i] == (min(same), len(same), sum(i in p for p in pairs))
 
 
 def test_group_of_copies_and_boilerplate(spark):
@@ -63,6 +67,7 @@ def test_empty_and_repeated_rows(spark):
     assert spans.shared_pairs(df).count() == 0
     assert spans.shared_pairs(df.where("false")).count() == 0
     assert spans.shared_share(df.where("false")).count() == 0
+    assert [tuple(r) for r in spans.shared_links(df).collect()] == [(1, 1, 1, 0)] and spans.shared_links(df.where("false")).count() == 0
 
 
 def test_winnowing_never_misses():
