@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,21 +18,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Only where that is unset in a local session (tests, local runs) it is a temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "siftloom-checkpoints")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder in ``spark.checkpoint.dir``.
+    """``df`` written once as a table in the shared folder and read again: its lineage ends there.
 
-    Only where that is unset (tests, local runs) a temporary folder is chosen.
+    A table, as ``DataFrame.checkpoint`` runs its plan twice and keeps no columns apart.
+    Tables lie in one folder an application, which is removed when its JVM ends. Columns
+    of type void can't be written.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "siftloom-checkpoints"))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    top = f"{shared_folder(spark)}/siftloom-{sc.applicationId}"
+    jvm = sc._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(top)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = f"{top}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
