@@ -13,9 +13,11 @@ all passages of a batch at once: the sum of each term's greatest impact against
 least threshold of all items, then the sum of its greatest impact in a block of items
 against the least threshold in the block, then the scores themselves.
 
-Scale: the texts are read once and nothing of them is shuffled. The index is broadcast
-in blocks of at most ``BLOCK_ITEMS`` items, so its size is bounded; more items take more
-passes.
+Scale: the texts are read and cut into tokens once, whatever the number of items, and
+nothing of them is shuffled. The index comes in blocks of at most ``BLOCK_ITEMS`` items,
+each a broadcast of bounded size; the driver builds one at a time and keeps none, and a
+worker keeps at most ``KEPT_BLOCKS`` loaded. Shared stems are counted and joined to the
+items in Spark.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 
 #: Items an index block holds; with queries of up to about 100 tokens it stays under 20 MB.
 BLOCK_ITEMS = 20_000
+#: Blocks a worker keeps in memory; the others are loaded for each batch of texts.
+KEPT_BLOCKS = 8
 #: An n-gram of this many tokens that stands in so many items is part of a shared stem.
 STEM_TOKENS, STEM_ITEMS = 4, 3
 #: Unchanged tokens beyond shared stems with which any run counts: so many, and one in so many of all such tokens of the item.
@@ -66,19 +69,23 @@ def tokens(text: str | None) -> list[str]:
     return (_NARROW if text.isascii() else _WIDE).findall(text)
 
 
-def _stem_grams(items: DataFrame) -> set[str]:
-    """N-grams that stand in several items. Counted in Spark; only those repeated come back, at most their number over ``STEM_ITEMS``."""
+def with_stems(items: DataFrame) -> DataFrame:
+    """``items`` with ``stem_at``: the token numbers at which an n-gram begins that stands in several queries. Null queries have none."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out: list[list] = [[], [], []]
             for q in b.column("query").to_pylist():
                 t = tokens(q)
-                out += {" ".join(t[i : i + STEM_TOKENS]) for i in range(len(t) - STEM_TOKENS + 1)}
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["gram"])
+                for i in range(len(t) - STEM_TOKENS + 1):
+                    for x, v in zip(out, (q, " ".join(t[i : i + STEM_TOKENS]), i)):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.int32()))], names=["query", "gram", "at"])
 
-    counted = items.select("query").distinct().mapInArrow(grams, "gram string").groupBy("gram").count()
-    return {r.gram for r in counted.where(F.col("count") >= STEM_ITEMS).collect()}
+    placed = items.select("query").where("query is not null").distinct().mapInArrow(grams, "query string, gram string, at int")
+    shared = placed.select("query", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= STEM_ITEMS).select("gram")
+    stems = placed.join(shared, "gram").groupBy("query").agg(F.collect_list("at").alias("stem_at"))
+    return items.join(stems, "query", "left")
 
 
 @dataclass
@@ -114,19 +121,18 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
-def build_index(rows: list, stems: set[str], block: int = 16) -> Index | None:
-    """``rows`` are (item_id, query, choices, gold). Items without a token are left out."""
+def build_index(rows: list, block: int = 16) -> Index | None:
+    """``rows`` are (item_id, query, choices, gold, stem_at). Items without a token are left out."""
     ids, words, weights, own, answers, golds = [], [], [], [], [], []
     vocabulary: dict[str, int] = {}
-    for item_id, query, choices, gold in rows:
+    for item_id, query, choices, gold, stem_at in rows:
         t = tokens(query)
         if not t or item_id is None:
             continue
         han = sum(bool(_IS_HAN.match(x)) for x in t) * 2 > len(t)
         mask = np.ones(len(t), bool)
-        for i in range(len(t) - STEM_TOKENS + 1):
-            if " ".join(t[i : i + STEM_TOKENS]) in stems:
-                mask[i : i + STEM_TOKENS] = False
+        for i in stem_at or ():
+            mask[i : i + STEM_TOKENS] = False
         ids.append(item_id)
         words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in t], np.int64))
         weights.append(np.concatenate([[0], np.cumsum([len(x) if han else 1 for x in t])]))
@@ -319,9 +325,8 @@ def _holds(part: list[str], whole: list[str]) -> bool:
     return bool(part) and any(whole[i : i + len(part)] == part for i in range(len(whole) - len(part) + 1))
 
 
-def search(ix: Index, texts: list[str | None]) -> Iterator[tuple[int, int, float, bool]]:
-    """(text number, item number, share of the question, whether the right answer stands within a few lines of it)."""
-    words = [tokens(t) for t in texts]
+def search(ix: Index, words: list[list[str]]) -> Iterator[tuple[int, int, float, bool]]:
+    """Of texts given as their tokens: (text number, item number, share of the question, whether the right answer stands within a few lines of it)."""
     offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
     get = ix.vocabulary.get
     stream = np.fromiter(map(get, chain.from_iterable(words), repeat(-1)), np.int64, int(offsets[-1]))
@@ -366,39 +371,44 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     half is so short that two changes leave no shared term are retrieved by any one term.
     """
     spark = documents.sparkSession
-    stems = _stem_grams(eval_items)
-    wanted = eval_items.select("item_id", "query", "choices", "gold").dropDuplicates(["item_id", "query"])
+    # Of repeated rows of an item the first by content counts, so the answer is the same in every run.
+    wanted = eval_items.select("item_id", "query", "choices", "gold").where("item_id is not null")
+    first = F.min(F.struct(F.col("gold").isNull().alias("none"), "gold", "choices")).alias("first")
+    wanted = with_stems(wanted.groupBy("item_id", "query").agg(first).select("item_id", "query", "first.choices", "first.gold"))
     blocks, rows = [], []
 
-    def scan(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
-            for b in batches:
-                ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-                first = 0
-                while first < len(texts):
-                    last, chars = first, 0
-                    while last < len(texts) and (last == first or chars < _CHUNK_CHARS):
-                        chars += len(texts[last] or "")
-                        last += 1
-                    rows = [(ids[first + t], ix.ids[i], s, a) for t, i, s, a in search(ix, texts[first:last])]
-                    first = last
-                    if rows:
-                        cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
-                        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "question_share", "answer_near"])
-
-        return documents.select("doc_id", "text").mapInArrow(run, FOUND)
-
-    for r in wanted.toLocalIterator():
+    def close() -> None:
+        if (index := build_index(rows)) is not None:
+            blocks.append(spark.sparkContext.broadcast(index))
+        rows.clear()
+
+    for r in wanted.select("item_id", "query", "choices", "gold", "stem_at").toLocalIterator():
         rows.append(tuple(r))
         if len(rows) == BLOCK_ITEMS:
-            blocks.append(build_index(rows, stems))
-            rows = []
-    blocks.append(build_index(rows, stems))
-    found = [scan(index) for index in blocks if index]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
+            close()
+    close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            first = 0
+            while first < len(texts):
+                last, chars = first, 0
+                while last < len(texts) and (last == first or chars < _CHUNK_CHARS):
+                    chars += len(texts[last] or "")
+                    last += 1
+                words, found = [tokens(t) for t in texts[first:last]], []
+                for k, block in enumerate(blocks):
+                    ix = block.value
+                    found += [(ids[first + t], ix.ids[i], s, a) for t, i, s, a in search(ix, words)]
+                    if k >= KEPT_BLOCKS:
+                        vars(block).pop("_value", None)  # it is loaded again from the worker's disk when next used
+                first = last
+                if found:
+                    cols = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "question_share", "answer_near"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, FOUND) if blocks else spark.createDataFrame([], FOUND)
 
 
 def item_report(eval_items: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,6 +26,28 @@ def found(spark, docs, rows, **kw):
     return {(r.doc_id, r.item_id): r for r in leak.leaks(d, spark.createDataFrame(rows, ITEM_SCHEMA)).collect()}
 
 
+def stemmed(rows, stems):
+    out = []
+    for r in rows:
+        t = leak.tokens(r[1])
+        out.append((*r, [i for i in range(len(t) - leak.STEM_TOKENS + 1) if " ".join(t[i : i + leak.STEM_TOKENS]) in stems]))
+    return out
+
+
+def test_many_blocks_read_the_texts_once(spark, monkeypatch):
+    """Blocks of 7 items, two of them kept in memory, give what one block gives, in one pass over the texts."""
+    rows = items(30)
+    docs = [(i, NOISE + r[1] + NOISE) for i, r in enumerate(rows)]
+    want = set(found(spark, docs, rows))
+    assert want == {(i, i) for i in range(30)}
+    monkeypatch.setattr(leak, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(leak, "KEPT_BLOCKS", 2)
+    assert set(found(spark, docs, rows)) == want
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    plan = leak.leaks(d, spark.createDataFrame(rows, ITEM_SCHEMA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
 def test_whole_partly_and_changed(spark):
     rows = items(30)
     q = [r[1] for r in rows]
@@ -68,7 +90,7 @@ def test_retrieval_loses_nothing(monkeypatch, spark):
     rng = random.Random(4)
     rows = items(60, 8)
     stems = {" ".join(STEM.split()[i : i + 4]) for i in range(4)}
-    ix = leak.build_index(rows, stems)
+    ix = leak.build_index(stemmed(rows, stems))
     docs = []
     for _ in range(150):
         i = rng.randrange(60)
@@ -78,7 +100,7 @@ def test_retrieval_loses_nothing(monkeypatch, spark):
         for _ in range(rng.randrange(3)):
             part[rng.randrange(len(part))] = rng.choice(WORDS) + "7"
         docs.append(" ".join(rng.choices(WORDS, k=rng.randrange(150))) + " " + " ".join(part) + " " + " ".join(rng.choices(WORDS, k=20)))
-    got = {(t, i) for t, i, *_ in leak.search(ix, docs)}
+    got = {(t, i) for t, i, *_ in leak.search(ix, [leak.tokens(t) for t in docs])}
     want = set()
     for t, text in enumerate(docs):
         d = [ix.vocabulary.get(x, -1) for x in leak.tokens(text)]
@@ -94,7 +116,7 @@ def test_halves_over_a_long_stem(changes):
     stem = "how should a reader respond after learning that this".split()
     rng = random.Random(5)
     rows = [(i, " ".join([*(f"{rng.choice(WORDS)}{i}x{k}" for k in range(8)), *stem, *(f"{rng.choice(WORDS)}{i}y{k}" for k in range(7))]), [], 0) for i in range(6)]
-    ix = leak.build_index(rows, {" ".join(stem[i : i + 4]) for i in range(len(stem) - 3)})
+    ix = leak.build_index(stemmed(rows, {" ".join(stem[i : i + 4]) for i in range(len(stem) - 3)}))
     texts, want = ["so " + " ".join(stem) + " on"], set()
     for i, query, *_ in rows:
         words = query.split()
@@ -107,14 +129,14 @@ def test_halves_over_a_long_stem(changes):
                 want.add((len(texts), i))
             texts.append("some filler " + " ".join(part) + " and more")
     assert len(want) >= (78 if changes < 2 else 74)
-    assert {(t, i) for t, i, *_ in leak.search(ix, texts)} == want
+    assert {(t, i) for t, i, *_ in leak.search(ix, [leak.tokens(t) for t in texts])} == want
 
 
 @pytest.mark.parametrize("size", [7, 8])
 def test_halves_of_short_items(size):
     """Of half of such an item one changed word leaves one term, by which it must be retrieved."""
     rows = [(i, " ".join(f"{w}{i}" for w in WORDS[:size]), [], 0) for i in range(20)]
-    ix = leak.build_index(rows, set())
+    ix = leak.build_index(stemmed(rows, set()))
     texts, want = [], set()
     for i, query, *_ in rows:
         words = query.split()
@@ -124,7 +146,7 @@ def test_halves_of_short_items(size):
                 part[k] = "changed"
                 want.add((len(texts), i))
                 texts.append("some filler " + " ".join(part) + " and more")
-    assert {(t, i) for t, i, *_ in leak.search(ix, texts)} == want
+    assert {(t, i) for t, i, *_ in leak.search(ix, [leak.tokens(t) for t in texts])} == want
 
 
 def test_blocks_of_items_give_the_same(monkeypatch, spark):
