@@ -11,6 +11,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def draw(*parts: Column) -> Column:
+    """A number of 60 bits that depends on the parts alone: the first digits of their MD5, which other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson over the rows where neither is null; null where either is constant."""
     both = x.isNotNull() & y.isNotNull()

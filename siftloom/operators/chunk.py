@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from siftloom.functions.text import bound
 
-from .prefix import running_total
+from siftloom.session import checkpointed
+
+from .prefix import BROADCAST_ROWS, running_total
 
 
 def chunk_starts(n: Column, most: int, overlap: int) -> Column:
@@ -68,10 +70,13 @@ def pack_fixed(chunks: DataFrame, order: list[str], label: str, tokens: str, mos
     """Chunks laid end to end in ``order`` and cut into rows of exactly ``most`` tokens: ``row_no, label, tokens``.
 
     ``label`` is that of the chunk that completes the row; the last, partial row is dropped.
+    ``order`` names a chunk: its columns are not null and no two chunks are equal in them.
     """
     sized = chunks.select(*dict.fromkeys([*order, label]), tokens, F.size(tokens).alias("n")).where("n > 0")
-    placed = running_total(sized, [], [F.col(c) for c in order], {"stop": F.col("n")}).withColumn("start", F.col("stop") - F.col("n"))
-    whole = placed.agg((F.floor(F.max("stop") / most) * most).alias("kept"))
+    # Places are summed over the order and sizes alone; the arrays join them once.
+    stops = checkpointed(running_total(sized.select(*order, "n"), [], [F.col(c) for c in order], {"stop": F.col("n")}).drop("n"))
+    placed = sized.join(F.broadcast(stops) if stops.count() <= BROADCAST_ROWS else stops, order).withColumn("start", F.col("stop") - F.col("n"))
+    whole = stops.agg((F.floor(F.max("stop") / most) * most).alias("kept"))
     rows = F.explode(F.sequence(F.floor(F.col("start") / most), F.floor((F.col("stop") - 1) / most))).alias("row_no")
     parts = placed.crossJoin(F.broadcast(whole)).where("start < kept").select("*", rows).where(F.col("row_no") * most < F.col("kept"))
     low, high = F.greatest(F.col("row_no") * most, F.col("start")), F.least((F.col("row_no") + 1) * most, F.col("stop"))

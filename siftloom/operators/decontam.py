@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.text import LOWER, PUNCTUATION, UPPER, ngram_form, word_ngrams
@@ -66,26 +66,24 @@ def dirty_spans(text: str, dirt: set[str], n: int, first: frozenset[str] | None
     return found
 
 
-def clean_chunks(text: str, spans: list[tuple[int, int]], window: int = 200, most: int = 10, least: int = 200) -> list[str]:
-    """What is left of a text without the spans and ``window`` characters around them.
+def clean_intervals(hits: Column, length: Column, window: int = 200, most: int = 10, least: int = 200) -> Column:
+    """What is left of a text around its hits: array of ``begin, stop`` in characters, stop exclusive.
 
-    The part before a cut is kept if it is longer than ``least``, and the rest after the last
-    cut if more than ``least`` characters remain, beginning one character after the cut; a
-    text with ``most`` + 1 or more hits gives nothing. Without a hit the whole text is kept
-    if it has at least ``least`` characters.
+    ``hits`` holds ``begin, stop`` of each hit in order. A hit is cut with ``window``
+    characters around it, which leaves the gaps between the cuts. A gap counts if it is
+    longer than ``least``; the last one loses its first character. A text with more than
+    ``most`` hits leaves nothing, one without hits itself if it has ``least`` characters.
     """
-    out, after = [], 0
-    stop = -1
-    for i, (start, end) in enumerate(spans):
-        if i >= most:
-            return []
-        cut_from, stop = max(0, start - window), min(len(text), end - 1 + window)
-        if cut_from - after > least:
-            out.append(text[after:cut_from])
-        after = stop
-    if stop < len(text) - least:
-        out.append(text[stop + 1 :])
-    return out
+    interval = lambda a, b: F.struct(a.cast("int").alias("begin"), b.cast("int").alias("stop"))
+    cuts = F.transform(hits, lambda h: interval(F.greatest(h["begin"] - window, F.lit(0)), F.least(h["stop"] - 1 + window, length)))
+    # Gap k lies between cut k - 1 and cut k; hits come in order and are equally many words, so overlapping cuts leave no gap.
+    edges = F.zip_with(F.concat(F.array(interval(F.lit(0), F.lit(0))), F.slice(cuts, F.lit(1), F.size(cuts) - 1)), cuts, lambda before, cut: interval(before["stop"], cut["begin"]))
+    inner = F.filter(edges, lambda g: g["stop"] - g["begin"] > least)
+    end = F.element_at(cuts, -1)["stop"]
+    after = F.when(length - end > least, F.array(interval(end + 1, length))).otherwise(F.array().cast("array<struct<begin: int, stop: int>>"))
+    whole = F.when(length >= least, F.array(interval(F.lit(0), length))).otherwise(F.array().cast("array<struct<begin: int, stop: int>>"))
+    n = F.size(hits)
+    return F.when(n == 0, whole).when(n <= most, F.concat(inner, after)).otherwise(F.array().cast("array<struct<begin: int, stop: int>>"))
 
 
 def decontaminate(docs: DataFrame, key: str, text: str, held_out: DataFrame, held_text: str, n: int = 13, window: int = 200, most: int = 10, least: int = 200) -> DataFrame:
@@ -108,11 +106,12 @@ def decontaminate(docs: DataFrame, key: str, text: str, held_out: DataFrame, hel
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for k, t, d in zip(pdf[key], pdf[text], pdf["_d"]):
-                if t is not None:
-                    bad, first = shared.value if shared is not None else (set(d) if d is not None else set(), None)
-                    out += [(k, i, c) for i, c in enumerate(clean_chunks(t, dirty_spans(t, bad, n, first), window, most, least))]
-            yield pd.DataFrame(out, columns=[key, "chunk", "text"])
-
-    return rows.mapInPandas(run, f"`{key}` {kind}, chunk int, text string")
+            found = []
+            for t, d in zip(pdf[text], pdf["_d"]):
+                bad, first = shared.value if shared is not None else (set(d) if d is not None else set(), None)
+                found.append([{"begin": a, "stop": b} for a, b in dirty_spans(t, bad, n, first)])
+            yield pd.DataFrame({key: pdf[key], "text": pdf[text], "hits": found})
+
+    marked = rows.where(F.col(text).isNotNull()).mapInPandas(run, f"`{key}` {kind}, text string, hits array<struct<begin: int, stop: int>>")
+    pieces = marked.select(key, "text", F.posexplode(clean_intervals(F.col("hits"), F.length("text"), window, most, least)).alias("chunk", "at"))
+    return pieces.select(key, "chunk", F.substring(F.col("text"), F.col("at.begin") + 1, F.col("at.stop") - F.col("at.begin")).alias("text"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.functions.numeric import ratio
+from siftloom.functions.numeric import draw, ratio
 from siftloom.functions.text import PUNCTUATION, softmax
 
 # ---- response filters: array of responses to array of responses -------------------------------------------------
@@ -296,20 +296,20 @@ def corpus_ter(df: DataFrame, by: Sequence[str], prediction: str, reference: str
 # ---- standard errors --------------------------------------------------------------------------------------------
 
 
-def bootstrap_stderr(df: DataFrame, by: Sequence[str], value: str, aggregate: Callable[[Column, Column], Column], iterations: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap_stderr(df: DataFrame, by: Sequence[str], key: str, value: str, aggregate: Callable[[Column, Column], Column], iterations: int = 1000, seed: int = 0) -> DataFrame:
     """``by, stderr``: sample deviation of an aggregation over resamples.
 
-    Each row enters each resample a Poisson(1) number of times, drawn from a hash, so a
-    resample needs no join and rows stay where they are. ``aggregate`` takes the value and
-    its weight. Rows multiply by ``iterations`` before the partial aggregation, which keeps
-    one row a resample and task.
+    Each row enters each resample a Poisson(1) number of times, drawn from its ``key`` alone,
+    so a resample needs no join, rows stay where they are, and the result does not follow
+    their partitions. ``aggregate`` takes the value and its weight. Rows multiply by
+    ``iterations`` before the partial aggregation, which keeps one row a resample and task.
     """
     steps, p = [], math.exp(-1)  # cumulative probabilities of a Poisson variable of mean 1
     for k in range(10):
         p = p / k if k else p
         steps.append(p + (steps[-1] if k else 0.0))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "iteration"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    drawn = df.select(*by, value, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).withColumn("u", u)
+    u = (draw(F.lit(seed), F.col(key), F.col("iteration")) % (1 << 30) + 0.5) / (1 << 30)
+    drawn = df.select(*by, key, value, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")).withColumn("u", u)
     weight = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in steps), F.lit(0))
     per = drawn.withColumn("weight", weight).groupBy(*by, "iteration").agg(aggregate(F.col(value), F.col("weight")).alias("a"))
     return per.groupBy(*by).agg(F.stddev_samp("a").alias("stderr"))

@@ -11,7 +11,7 @@ from siftloom.functions.text import clean_text, right_split, template
 # The patterns of scores, categories and "N/A" in answers, per language.
 SCORE = {
     "en": r"(?:\[[1-9][0-4]?\]|\b[1-9][0-4]?\.|\b[1-9][0-4]?\)).*(?:\*+|\s+|\(+)(\d+(\.\d+)?)/5",
-    "zh": r"\[[1-9][0-4]?[^：]+：(\d+(?:\.\d+)?)/5",
+    "zh": r"\[[1-9][0-4]?\][^：]+：(\d+(?:\.\d+)?)/5",
 }
 CATEGORY = {
     "en": [r"\[\s*([A-Z])\s*\]", r"(?<=\s)([A-Z])(?=\])(?!\]\])", r"\bDomain Type:\**\s*\**([A-Z])\s*(?=[\(\)\*\-])"],

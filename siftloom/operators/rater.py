@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftloom.functions.numeric import correlation
+from siftloom.session import checkpointed
 
+from .prefix import BROADCAST_ROWS
 from .stats import correlations
 
 
@@ -68,7 +70,9 @@ def all_rating_report(pairs: DataFrame) -> DataFrame:
         counted = pairs.where("truth is not null and predicted is not null").groupBy("criterion", c).agg(F.count("*").alias("m"))
         below = F.coalesce(F.sum("m").over(Window.partitionBy("criterion").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranks.append(counted.select("criterion", c, (below + (F.col("m") + 1) / 2).alias(f"rank_{c}")))
-    ranked = pairs.join(F.broadcast(ranks[0]), ["criterion", "truth"]).join(F.broadcast(ranks[1]), ["criterion", "predicted"])
+    # Ratings have a few values each; finer scores make larger tables, joined by shuffle.
+    ranks = [F.broadcast(r) if r.count() <= BROADCAST_ROWS else r for r in map(checkpointed, ranks)]
+    ranked = pairs.join(ranks[0], ["criterion", "truth"]).join(ranks[1], ["criterion", "predicted"])
     spearman = ranked.groupBy("criterion").agg(correlation(F.col("rank_truth"), F.col("rank_predicted")).alias("spearman"))
     return score_report(pairs, ["criterion"], "truth", "predicted").join(spearman, "criterion", "left")
 

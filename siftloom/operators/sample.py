@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import draw
 from siftloom.session import checkpointed
 
 from .prefix import running_total
@@ -48,8 +49,11 @@ def rebalance(train: DataFrame, by: str, score: str, order: list[Column], quanti
     n = ranked.where("_high is not null").groupBy(by).agg(F.count_if(F.col("_high") == 1).alias("high"), F.count_if(F.col("_high") == 0).alias("low"))
     goal = n.withColumn("small", F.least("high", "low")).withColumn("class", (F.col("high") < F.col("low")).cast("int"))
     goal = goal.withColumn("draws", F.least(F.floor(F.abs(F.col("high") - F.col("low")) / quantile), F.col("small")) * k).where("draws > 0")
-    pick = F.pmod(F.xxhash64(F.lit(seed), by, F.lit(k), "copy_no"), F.col("small")) + 1
-    drawn = goal.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws")))).select(by, F.col("class").alias("_high"), pick.alias("_place"), F.col("copy_no").cast("int"))
+    pick = draw(F.lit(seed), F.col(by), F.lit(k), F.col("copy_no")) % F.col("small") + 1
+    # The draws of one group are made by as many tasks as it has blocks of them.
+    blocks = goal.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / 4096)))).repartition(by, "block")
+    each = F.sequence(F.col("block") * 4096 + 1, F.least(F.col("draws"), (F.col("block") + 1) * 4096))
+    drawn = blocks.withColumn("copy_no", F.explode(each)).select(by, F.col("class").alias("_high"), pick.alias("_place"), F.col("copy_no").cast("int"))
     again = drawn.join(ranked, [by, "_high", "_place"])
     return ranked.withColumn("copy_no", F.lit(0)).unionByName(again.select(*ranked.columns, "copy_no")).drop("_high", "_place")
 
@@ -92,6 +96,24 @@ def fewshot(docs: DataFrame, pool: DataFrame, by: str, doc: str, k: int, order:
     return pairs.join(own, [by, doc], "left").withColumn("shot", shot).where(F.col("shot") <= k).select(doc, "shot", "example")
 
 
+def fewshot_random(docs: DataFrame, pool: DataFrame, by: str, doc: str, k: int, seed: int = 0) -> DataFrame:
+    """``doc, shot, example``: ``k`` examples of the same group drawn for each document by a seed, never itself.
+
+    The pool of a group is numbered once in a seeded order; a document starts at a drawn
+    place and takes those that follow, so its examples are distinct, and only ``k + 1`` rows
+    a document are joined, never documents times pool.
+    A group of fewer than ``k + 1`` examples gives what it has.
+    """
+    place = running_total(pool.select(by, F.col(doc).alias("example")), [by], [draw(F.lit(seed), F.col("example")), F.col("example")], {"place": F.lit(1)})
+    sizes = pool.groupBy(by).agg(F.count("*").alias("_n"))
+    walked = docs.select(by, doc).join(sizes, by).withColumn("_try", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n") - 1).cast("int"))))
+    first = draw(F.lit(seed), F.lit("start"), F.col(doc))
+    walked = walked.withColumn("place", (first + F.col("_try")) % F.col("_n") + 1)
+    found = walked.join(place, [by, "place"]).where(F.col("example") != F.col(doc))
+    order = Window.partitionBy(doc).orderBy("_try")
+    return found.withColumn("shot", F.row_number().over(order)).where(F.col("shot") <= k).select(doc, "shot", "example")
+
+
 def shuffled_choices(choices: Column, key: Column, seed: int = 0) -> Column:
     """The choices in an order that depends on the document and seed alone."""
     return F.transform(F.array_sort(F.transform(choices, lambda c, i: F.struct(F.xxhash64(F.lit(seed), key, i, c).alias("h"), i.alias("i"), c.alias("c")))), lambda s: s["c"])

@@ -9,9 +9,10 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import draw
 from siftloom.session import checkpointed
 
-from .prefix import running_total
+from .prefix import BROADCAST_ROWS, running_total
 
 
 def composite_metric(fields: Sequence[str]) -> Column:
@@ -116,14 +117,15 @@ def _upsampled(chosen: DataFrame, budgets: DataFrame, by: list[str], seed: int)
     added = chosen.groupBy(*by).agg(F.sum("n_tokens").alias("have"), F.count("*").alias("rows"))
     state = budgets.select(*by, "budget").join(added, by) if by else budgets.select("budget").crossJoin(added)
     state = state.withColumn("drawn", F.lit(0).cast("long")).withColumn("base", F.col("rows"))
-    for turn in range(1, 17):
+    # Each turn draws at least one row of each short group, and every row has tokens, so the loop ends.
+    while True:
         short = checkpointed(state.where("have < budget and rows > 0").withColumn("draws", F.ceil((F.col("budget") - F.col("have")) / (F.col("have") / (F.col("rows") + F.col("drawn"))))))
         if short.isEmpty():
             break
         # Draw j of a group is a row number; draws of one group are made by as many tasks as there are blocks.
         blocks = short.select(*by, "base", "drawn", "draws", F.explode(F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / 4096))).alias("block")).repartition(*by, "block")
         drawn = blocks.select(*by, "base", F.explode(F.sequence(F.col("drawn") + F.col("block") * 4096 + 1, F.col("drawn") + F.least(F.col("draws"), (F.col("block") + 1) * 4096))).alias("copy_no"))
-        picks = drawn.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), *by, "copy_no"), F.col("base")) + 1).drop("base")
+        picks = drawn.withColumn("place", draw(F.lit(seed), *[F.col(c) for c in by], F.col("copy_no")) % F.col("base") + 1).drop("base")
         extra = checkpointed(picks.join(chosen, [*by, "place"]).select(*chosen.columns, F.col("copy_no").cast("int")))
         out = out.unionByName(extra)
         more = extra.groupBy(*by).agg(F.sum("n_tokens").alias("more"), F.count("*").alias("count"))
@@ -149,11 +151,16 @@ def shard_by_rows(rows: DataFrame, tokens_per_shard: int, order: str = "row_id")
     """Adds ``shard`` with boundaries at rows ``round(i * limit / total * n)`` (half to even), as if all rows had equal tokens."""
     numbered = running_total(rows, [], [F.col(order)], {"_place": F.lit(1)})
     whole = rows.agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_n"))
+    # Edge i is near i * step, so the edges before a row are those up to about place / step, give or take one.
+    edge = lambda i: F.bround(i * tokens_per_shard / F.col("_t") * F.col("_n"))
+    edges = F.greatest(F.lit(1), F.ceil(F.col("_t") / tokens_per_shard))
+    near = F.greatest(F.floor(F.col("_place") * F.col("_t") / F.col("_n") / tokens_per_shard) - 2, F.lit(0))
+    some = F.sequence(F.lit(1), F.lit(4))
     return (
         numbered.crossJoin(F.broadcast(whole))
-        .withColumn("_edges", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_t") / tokens_per_shard))), lambda i: F.bround(i * tokens_per_shard / F.col("_t") * F.col("_n"))))
-        .withColumn("shard", F.size(F.filter("_edges", lambda e: e < F.col("_place"))).cast("long"))
-        .drop("_edges", "_t", "_n", "_place")
+        .withColumn("_near", F.least(near, edges))
+        .withColumn("shard", (F.col("_near") + F.size(F.filter(some, lambda k: (F.col("_near") + k <= edges) & (edge(F.col("_near") + k) < F.col("_place"))))).cast("long"))
+        .drop("_near", "_t", "_n", "_place")
     )
 
 
@@ -176,11 +183,10 @@ def shard_strided(rows: DataFrame, shards: int, order: str = "row_id") -> DataFr
 
 def tail_fraction(rows: DataFrame, by: list[str], score: str, tie: str, fraction: float = 0.01) -> DataFrame:
     """Top and bottom ``max(floor(fraction * n), 1)`` rows of each group by score: ``tail`` is ``top`` or ``bottom``; the tails may overlap."""
-    sizes = rows.groupBy(*by).agg(F.greatest(F.floor(F.count("*") * fraction), F.lit(1)).alias("_most"))
+    sizes = checkpointed(rows.groupBy(*by).agg(F.greatest(F.floor(F.count("*") * fraction), F.lit(1)).alias("_most")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
     out = []
     for tail, first in (("top", F.col(score).desc()), ("bottom", F.col(score).asc())):
         ranked = running_total(rows, by, [first, F.col(tie)], {"_place": F.lit(1)})
         out.append(ranked.join(sizes, by).where("_place <= _most").drop("_most").withColumn("tail", F.lit(tail)).withColumnRenamed("_place", "place"))
     return out[0].unionByName(out[1])
-
-

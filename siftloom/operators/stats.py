@@ -88,13 +88,14 @@ def _finite(c: str):
 def pearson_matrix(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """``a, b, pearson`` of each pair, over the rows where both are finite.
 
-    Each row is spread over its pairs and folded into partial sums at once, so only one
-    row a pair and task is shuffled.
+    One aggregate holds the sums of all pairs, so rows are neither multiplied nor shuffled;
+    one row a task is.
     """
     clean = df.select(*[F.when(_finite(m), F.col(m).cast("double")).alias(m) for m in metrics])
-    spread = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(metrics, 2)]))
-    pairs = clean.select(spread.alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("pearson"))
+    pairs = list(combinations(metrics, 2))
+    wide = clean.agg(*[correlation(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("pearson")) for i, (a, b) in enumerate(pairs)]))
+    return wide.select(rows.alias("p")).select("p.*")
 
 
 def correlations(df: DataFrame, main: str, others: Sequence[str]) -> DataFrame:

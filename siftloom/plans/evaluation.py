@@ -133,9 +133,9 @@ def answer_match(spark, d):
     return rounded(rows.groupBy("task_name").agg(F.avg("exact").alias("exact"), F.avg("f1").alias("f1")))
 
 
-@query(r"""SELECT item_id, [NOT contains(query, ','), len(regexp_extract_all(query, '[0-9A-Za-z_]+')) >= 20, query = lower(query) AND regexp_matches(query, '[a-z]')] AS strict FROM eval_items WHERE lang = 'en'""")
+@query(r"""SELECT item_id, [NOT contains(query, ','), len(regexp_extract_all(query, '[0-9A-Za-z_]+')) >= 20, query = lower(query) AND regexp_matches(query, '[a-z]')] AS strict FROM eval_items""")
 def instruction_checks(spark, d):
-    items = table(spark, d, "eval_items").where("lang = 'en'")
+    items = table(spark, d, "eval_items")
     return items.select("item_id", ev.follows(F.col("query"), [("no_comma",), ("min_words", 20), ("all_lower",)]).alias("strict"))
 
 

@@ -20,7 +20,7 @@ def _answers(spark, d, lang: str):
 
 
 _ZH = f"""answers AS (SELECT request_id, request_index, status, gpt_response AS answer, {_REQUEST} AS request FROM gpt_responses WHERE left({_REQUEST}, 1) = '请'),
-    parts AS (SELECT *, [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(coalesce(answer, ''), '\\[[1-9][0-4]?[^：]+：(\\d+(?:\\.\\d+)?)/5', 1)] AS s,
+    parts AS (SELECT *, [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(coalesce(answer, ''), '\\[[1-9][0-4]?\\][^：]+：(\\d+(?:\\.\\d+)?)/5', 1)] AS s,
         list_distinct(regexp_extract_all(coalesce(answer, ''), '领域类型.*?[\\[\\]]?([A-Z])[\\]\\[]?', 1)) AS c FROM answers),
     judged AS (SELECT *, CASE WHEN coalesce(status <> 'success', TRUE) THEN 'api_failure' WHEN regexp_matches(coalesce(answer, ''), '：N/A') THEN 'na_present'
         WHEN len(s) = 0 THEN 'no_scores' WHEN len(s) < 14 THEN 'too_few' WHEN len(s) > 14 AND len(s) <> 28 THEN 'too_many'
@@ -94,17 +94,10 @@ def _masked_chats(spark, d, most: int | None):
     )
 
 
-@query(f"""WITH t AS (SELECT request_id, [length(w) FOR w IN regexp_split_to_array({_REQUEST}, '\\s+') IF w <> ''] AS p, [length(w) FOR w IN regexp_split_to_array(coalesce(gpt_response, ''), '\\s+') IF w <> ''] AS r FROM gpt_responses)
-    SELECT request_id, 64 AS n, least(len(p) + len(r), 64) AS attended, greatest(least(len(p) + len(r), 64) - len(p), 0) AS learned, CAST(coalesce(list_sum((p || r)[1:64]), 0) AS BIGINT) AS id_sum FROM t""")
-def chat_loss_mask(spark, d):
-    """Word lengths stand in for token ids. Cut to 64 words, which most prompts fill alone; ``chat_loss_mask_whole`` has the answers."""
-    return _masked_chats(spark, d, 64)
-
-
 @query(f"""WITH t AS (SELECT request_id, [length(w) FOR w IN regexp_split_to_array({_REQUEST}, '\\s+') IF w <> ''] AS p, [length(w) FOR w IN regexp_split_to_array(coalesce(gpt_response, ''), '\\s+') IF w <> ''] AS r FROM gpt_responses)
     SELECT request_id, len(p) + len(r) AS n, len(p) + len(r) AS attended, len(r) AS learned, CAST(coalesce(list_sum(p || r), 0) AS BIGINT) AS id_sum FROM t""")
-def chat_loss_mask_whole(spark, d):
-    """Whole conversations, so that every word of every answer is learned."""
+def chat_loss_mask(spark, d):
+    """Word lengths stand in for token ids; whole conversations, so that every word of every answer is learned."""
     return _masked_chats(spark, d, None)
 
 

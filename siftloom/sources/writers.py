@@ -17,6 +17,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Rows of a file of a shard.
+ROWS_PER_FILE = 1_000_000
+#: Shards written before they are marked finished.
+SHARDS_PER_JOB = 64
+
+
+def _mark(spark: SparkSession, path: str) -> None:
+    """Leaves the mark of a finished output."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 def write_parquet(df: DataFrame, path: str, files: int | None = None, codec: str = "zstd", level: int = 3, skip_done: bool = False) -> bool:
     """Parquet with a codec; ``files`` of even size if given. Returns whether it wrote; a finished output can be left alone."""
     if skip_done and exists(df.sparkSession, path):
@@ -35,10 +47,29 @@ def write_jsonl(df: DataFrame, path: str, files: int | None = None, skip_done: b
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", skip_done: bool = True) -> bool:
-    """One folder a shard; rows of a shard are spread over tasks by AQE-sized pieces, not gathered in one."""
-    if skip_done and exists(df.sparkSession, path):
+    """One folder a shard, of files of up to ``ROWS_PER_FILE`` rows; a large shard is written by several tasks.
+
+    With ``skip_done`` a finished output is left as it is, and of a broken one the shards
+    that are marked finished: ``SHARDS_PER_JOB`` at a time are written and then marked. A
+    null shard is not written.
+    """
+    spark = df.sparkSession
+    if skip_done and exists(spark, path):
         return False
-    df.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy(shard).parquet(path)
+    sizes = [(r[shard], r.n) for r in df.where(F.col(shard).isNotNull()).groupBy(shard).agg(F.count("*").alias("n")).orderBy(shard).collect()]
+    missing = [(k, n) for k, n in sizes if not (skip_done and exists(spark, f"{path}/{shard}={k}"))]
+    plain = [F.col(c) for c, t in df.dtypes if c != shard and "map<" not in t] or [F.lit(0)]
+    for first in range(0, len(missing), SHARDS_PER_JOB):
+        part = missing[first : first + SHARDS_PER_JOB]
+        pieces = F.create_map(*[F.lit(x) for k, n in part for x in (str(k), -(-n // ROWS_PER_FILE))])
+        salt = F.pmod(F.xxhash64(*plain), F.try_element_at(pieces, F.col(shard).cast("string")).cast("long"))
+        rows = df.where(F.col(shard).cast("string").isin([str(k) for k, _ in part])).withColumn("_piece", salt)
+        files = sum(-(-n // ROWS_PER_FILE) for _, n in part)
+        out = rows.repartition(files, shard, "_piece").drop("_piece")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(shard).parquet(path)
+        for k, _ in part:
+            _mark(spark, f"{path}/{shard}={k}")
+    _mark(spark, path)
     return True
 
 

@@ -53,28 +53,24 @@ def test_presplit(spark, text, sep, least, include, want):
     assert [r.text for r in chunk.presplit(df, "text", sep, least, include).orderBy("id", "piece").collect()] == want
 
 
-def plain_windows(n, most, context):
-    """Inputs end one before the targets do; the first window begins at the prefix, here position -1."""
-    if n == 0:
-        return []
-    first = min(most, n)
-    out, done = [(-1, first - 1, 0, first)], first
-    while done < n:
-        more = min(n - done, most - context + 1)
-        end = done + more
-        out.append((end - most - 1, end - 1, done, end))
-        done = end
-    return out
-
-
 @pytest.mark.parametrize("most, context", [(10, 1), (10, 8), (10, 10), (2, 1)])
 def test_rolling_windows(spark, most, context):
+    """Every token is predicted once and in order, from inputs that end one before it and are as long as they can be."""
     df = spark.createDataFrame([(n,) for n in (0, 1, 9, 10, 11, 30, 34)], "n int").select("n", chunk.rolling_windows(F.col("n"), most, context).alias("w"))
     for r in df.collect():
-        got = [tuple(w) for w in r.w]
-        assert got == plain_windows(r.n, most, context)
-        assert [p for *_, a, b in got for p in range(a, b)] == list(range(r.n))
-        assert all(b - a <= most for a, b, *_ in got)
+        assert [p for w in r.w for p in range(w.target_start, w.target_end)] == list(range(r.n))
+        for k, w in enumerate(r.w):
+            assert w.input_end == w.target_end - 1 and w.input_end - w.input_start == (min(most, r.n) if k == 0 else most)
+            new = w.target_end - w.target_start
+            assert new == (min(most, r.n) if k == 0 else most - context + 1) or (k == len(r.w) - 1 and 0 < new < most - context + 1)
+
+
+@pytest.mark.parametrize("n, most, context, want", [
+    (5, 4, 1, [(-1, 3, 0, 4), (0, 4, 4, 5)]), (6, 4, 3, [(-1, 3, 0, 4), (1, 5, 4, 6)]), (3, 4, 4, [(-1, 2, 0, 3)]), (4, 2, 2, [(-1, 1, 0, 2), (0, 2, 2, 3), (1, 3, 3, 4)]),
+])
+def test_rolling_windows_worked(spark, n, most, context, want):
+    got = spark.range(1).select(chunk.rolling_windows(F.lit(n), most, context).alias("w")).first().w
+    assert [tuple(w) for w in got] == want
 
 
 def test_disjoint_windows(spark):
@@ -118,5 +114,5 @@ def test_whole_chats_learn_every_answer(spark, tmp_path):
     message = "struct<model: string, messages: array<struct<role: string, content: string>>>"
     rows = [(1, ("m", [("user", prompt)]), answer), (2, ("m", [("user", "one two")]), None), (3, ("m", [("user", "one")]), "a b")]
     spark.createDataFrame(rows, f"request_id long, request_json {message}, gpt_response string").write.parquet(f"{tmp_path}/gpt_responses.parquet")
-    got = {r.request_id: tuple(r)[1:] for r in catalog.queries()["chat_loss_mask_whole"](spark, str(tmp_path)).collect()}
+    got = {r.request_id: tuple(r)[1:] for r in catalog.queries()["chat_loss_mask"](spark, str(tmp_path)).collect()}
     assert got == {1: (190, 190, 90, 660), 2: (2, 2, 0, 6), 3: (3, 3, 2, 5)}

@@ -17,15 +17,19 @@ def test_ngrams_and_overlap(spark):
     assert [tuple(r) for r in decontam.overlap(docs, "doc_id", "text", held, "item", "q", 3).collect()] == [(1, 1, 12)]
 
 
-def test_cutting_rules():
-    text = "x" * 1000
-    cut = lambda spans, t=text: [len(c) for c in decontam.clean_chunks(t, spans)]
-    assert cut([]) == [1000] and cut([], "y" * 200) == [200] and cut([], "y" * 199) == []
-    assert cut([(500, 510)]) == [300, 1000 - 709 - 1]
-    assert cut([(0, 10)]) == [1000 - 209 - 1] and cut([(990, 1000)]) == [790]
-    assert cut([(400, 405)] * 10) != [] and cut([(400, 405)] * 11) == []
-    assert cut([(400, 410), (405, 420)]) == [200 * 0 + 1000 - 619 - 1] or cut([(400, 410), (405, 420)])[-1] == 1000 - 619 - 1
-    assert cut([(200, 210)]) == [1000 - 409 - 1]
+@pytest.mark.parametrize("length, hits, want", [
+    (1000, [], [(0, 1000)]), (200, [], [(0, 200)]), (199, [], []),
+    (1000, [(500, 510)], [(0, 300), (710, 1000)]),  # 200 characters around the hit go, and one more behind it
+    (1000, [(0, 10)], [(210, 1000)]), (1000, [(990, 1000)], [(0, 790)]), (1000, [(200, 210)], [(410, 1000)]),
+    (1000, [(400, 410), (405, 420)], [(620, 1000)]),  # the part before is no longer than 200
+    (2000, [(500, 510), (1100, 1110)], [(0, 300), (1310, 2000)]),
+    (3000, [(500, 510), (1500, 1510)], [(0, 300), (709, 1300), (1710, 3000)]),
+    (3000, [(500, 510)] * 10, [(0, 300), (710, 3000)]), (3000, [(500, 510)] * 11, []),
+])
+def test_cutting_rules(spark, length, hits, want):
+    df = spark.createDataFrame([(hits, length)], "h array<struct<begin: int, stop: int>>, n int")
+    got = df.select(decontam.clean_intervals(F.col("h"), F.col("n")).alias("x")).first().x
+    assert [tuple(x) for x in got] == want
 
 
 @pytest.mark.parametrize("most", [10**6, 0])
@@ -113,10 +117,12 @@ def test_bleu_chrf_ter(spark):
 def test_errors_and_groups(spark):
     rng = random.Random(42)
     xs = [rng.random() for _ in range(1000)]
-    df = spark.createDataFrame([("t", x) for x in xs], "g string, x double")
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(xs)], "g string, k int, x double")
     mean = sum(xs) / 1000
     closed = math.sqrt(sum((x - mean) ** 2 for x in xs) / 999 / 1000)
-    boot = evaluate.bootstrap_stderr(df, ["g"], "x", lambda x, w: F.sum(x * w) / F.sum(w), 400).first().stderr
+    boot = evaluate.bootstrap_stderr(df, ["g"], "k", "x", lambda x, w: F.sum(x * w) / F.sum(w), 400).first().stderr
+    again = evaluate.bootstrap_stderr(df.repartition(7), ["g"], "k", "x", lambda x, w: F.sum(x * w) / F.sum(w), 400).first().stderr
+    assert boot == pytest.approx(again, rel=1e-9)
     assert boot == pytest.approx(closed, rel=0.12)
     assert evaluate.stderr_kind("bleu", 100000) == ("bootstrap", 100) and evaluate.stderr_kind("mean", 10)[0] == "closed" and evaluate.stderr_kind("x", 10)[0] == "none"
     se = lambda v: math.sqrt(sum((x - sum(v) / len(v)) ** 2 for x in v) / (len(v) - 1) / len(v))

@@ -170,7 +170,7 @@ def test_rank_strides_hold_every_row(spark, tmp_path):
     ids = [3, 7, 8, 4999, 5000, 70_000, 70_001, 10**12, 10**12 + 9]
     df = spark.createDataFrame([(i,) for i in reversed(ids)], "doc_id long").repartition(3)
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in catalog.queries()["rank_strided_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalog.queries()["rank_strided"](spark, str(tmp_path)).collect()}
     assert got == {(x, k % 4) for k, x in enumerate(ids)}
     first = {tuple(r) for r in sample.rank_strides(df, "doc_id", 4, 6).collect()}
     assert first == {(x, k % 4) for k, x in enumerate(ids[:6])}
