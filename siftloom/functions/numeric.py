@@ -16,6 +16,11 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def draw_sql(*parts: str) -> str:
+    """``draw`` for DuckDB."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson over the rows where neither is null; null where either is constant."""
     both = x.isNotNull() & y.isNotNull()

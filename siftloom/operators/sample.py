@@ -12,7 +12,7 @@ from .prefix import running_total
 
 
 def hash_order(key: str, seed: int) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), key), F.col(key)]
+    return [draw(F.lit(seed), F.col(key)), F.col(key)]
 
 
 def sample_per_group(df: DataFrame, by: list[str], n: int, order: list[Column]) -> DataFrame:

@@ -43,7 +43,7 @@ def filter_domains(attributes: DataFrame, target_domains: Sequence[str]) -> Data
 
 def _order(bottom: bool, seed: int | None) -> list[Column]:
     if seed is not None:
-        return [F.xxhash64(F.lit(seed), "row_id"), F.col("row_id")]
+        return [draw(F.lit(seed), F.col("row_id")), F.col("row_id")]
     return [F.col("metric").asc() if bottom else F.col("metric").desc(), F.col("row_id")]
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from siftloom.functions import text as fn
+from siftloom.functions.numeric import draw_sql
 from siftloom.operators import evaluate as ev
 from siftloom.operators import rater
 
@@ -166,15 +167,24 @@ def responses_by_document(spark, d):
     return ev.responses_by_document(rows)
 
 
-@query()
+_LISTS = r"""w AS (SELECT task_name, [x FOR x IN regexp_split_to_array(choices[1], '\s+') IF x <> ''] AS p, [x FOR x IN regexp_split_to_array(choices[gold + 1], '\s+') IF x <> ''] AS r FROM eval_items),
+    g AS (SELECT task_name, p, r, [p[i] || ' ' || p[i + 1] FOR i IN range(1, len(p))] AS pp, [r[i] || ' ' || r[i + 1] FOR i IN range(1, len(r))] AS rr FROM w)"""
+_SAME = "coalesce(list_sum([least(len([y FOR y IN {a} IF y = x]), len([y FOR y IN {b} IF y = x])) FOR x IN list_distinct({a})]), 0)"
+
+
+@query(f"""WITH {_LISTS}, s AS (SELECT task_name, sum({_SAME.format(a="p", b="r")}) AS m1, sum(len(p)) AS t1, sum({_SAME.format(a="pp", b="rr")}) AS m2, sum(len(pp)) AS t2, sum(len(r)) AS r FROM g GROUP BY 1)
+    SELECT task_name, CASE WHEN m1 > 0 AND m2 > 0 THEN round(100 * (CASE WHEN t1 < r THEN exp(1 - r / t1) ELSE 1 END) * exp((ln(m1 / t1) + ln(m2 / t2)) / 2), 6) ELSE 0 END AS bleu FROM s""")
 def corpus_bleu(spark, d):
-    """Summed n-gram counts; compared with a plain-Python BLEU in the tests."""
     items = table(spark, d, "eval_items").select("task_name", F.element_at("choices", 1).alias("p"), F.element_at("choices", F.col("gold") + 1).alias("r"))
     return rounded(ev.corpus_bleu(items, ["task_name"], "p", "r", 2))
 
 
-@query()
+_STEPS = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+
+
+@query(f"""WITH i AS (SELECT task_name, CAST(gold = 0 AS INTEGER) AS x, iteration, ({draw_sql("0", "item_id", "iteration")} % {1 << 30} + 0.5) / {1 << 30} AS u FROM eval_items, range(0, 200) r(iteration)),
+    w AS (SELECT task_name, iteration, x, {" + ".join(f"CAST(u > {s!r} AS INTEGER)" for s in _STEPS)} AS w FROM i),
+    a AS (SELECT task_name, iteration, sum(x * w) / sum(w) AS a FROM w GROUP BY 1, 2) SELECT task_name, round(stddev_samp(a), 6) AS stderr FROM a GROUP BY 1""")
 def bootstrap_error(spark, d):
-    """Random by nature; agrees with the closed form within tolerance in the tests."""
-    items = table(spark, d, "eval_items").select("task_name", (F.col("gold") == 0).cast("double").alias("x"))
-    return rounded(ev.bootstrap_stderr(items, ["task_name"], "x", lambda x, w: F.sum(x * w) / F.sum(w), 200))
+    items = table(spark, d, "eval_items").select("task_name", "item_id", (F.col("gold") == 0).cast("double").alias("x"))
+    return rounded(ev.bootstrap_stderr(items, ["task_name"], "item_id", "x", lambda x, w: F.sum(x * w) / F.sum(w), 200))

