@@ -94,6 +94,9 @@ WIKITEXT_PATTERNS = [
 ]
 WIKITEXT_LAST = [("= = = =", "===="), ("= = =", "==="), ("= =", "=="), (" " + chr(176) + " ", chr(176)), (" \n", "\n"), ("\n ", "\n"), (" N ", " 1 "), (" 's", "'s")]
 
+TITLE = [(" [title]", ". ")]
+DIALOGUE = [(" '", "'"), (" \n", "\n"), ("\n ", "\n"), (" n't", "n't"), ("`` ", '"'), ("''", '"'), (" :", ":"), (" ;", ";"), (" !", "!"), (" ?", "?"), (" ,", ","), (" .", ".")]
+
 
 def general_detokenize(text: Column) -> Column:
     return F.regexp_replace(replaced(text, GENERAL), r" (['.,])", "$1")
@@ -107,12 +110,12 @@ def wikitext_detokenize(text: Column) -> Column:
 
 
 def hellaswag_detokenize(text: Column) -> Column:
-    out = replaced(F.trim(text), [(" [title]", ". ")])
+    out = replaced(F.trim(text), TITLE)
     return F.replace(F.regexp_replace(out, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
 
 
 def dialogue_detokenize(text: Column) -> Column:
-    return replaced(text, [(" '", "'"), (" \n", "\n"), ("\n ", "\n"), (" n't", "n't"), ("`` ", '"'), ("''", '"'), (" :", ":"), (" ;", ";"), (" !", "!"), (" ?", "?"), (" ,", ","), (" .", ".")])
+    return replaced(text, DIALOGUE)
 
 
 def answer_form(text: Column) -> Column:
@@ -134,9 +137,20 @@ def clean_answer(text: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Common elements of two arrays, counted as often as both have them."""
-    times = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    return F.aggregate(F.transform(F.array_distinct(a), lambda w: F.least(times(a, w), times(b, w))), F.lit(0), lambda s, n: s + n)
+    """Common elements of two arrays, counted as often as both have them; nulls don't count.
+
+    Both arrays are sorted together, and one pass with a state of fixed size takes for each
+    element of the second one of the same kind that the first has left.
+    """
+    marked = lambda x, tag: F.transform(F.filter(x, lambda w: w.isNotNull()), lambda w: F.struct(w.alias("w"), F.lit(tag).alias("tag")))
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("left"), F.lit(0).alias("same"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.when(s["last"].eqNullSafe(x["w"]), s["left"]).otherwise(F.lit(0))
+        taken = ((x["tag"] == 1) & (left > 0)).cast("int")
+        return F.struct(x["w"].alias("last"), (left + F.when(x["tag"] == 0, 1).otherwise(0) - taken).alias("left"), (s["same"] + taken).alias("same"))
+
+    return F.aggregate(F.array_sort(F.concat(marked(a, 0), marked(b, 1))), start, step)["same"]
 
 
 def token_f1(prediction: Column, truth: Column) -> Column:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.functions.numeric import draw
 from siftloom.functions.text import bound
 
 from siftloom.session import checkpointed
@@ -34,10 +35,14 @@ def chunk(df: DataFrame, tokens: str, most: int, overlap: int = 0, least: int =
     return df.select(*keep, F.posexplode(cut).alias("position", tokens)).where(F.size(tokens) >= least)
 
 
+def random_start(n: Column, most: int, key: Column, seed: int = 42) -> Column:
+    """Where the chunk of ``most`` of ``n`` tokens begins, drawn from the key."""
+    return (draw(F.lit(seed), key) % (F.greatest(n - most, F.lit(0)) + 1)).cast("int")
+
+
 def random_chunk(df: DataFrame, tokens: str, most: int, key: str, seed: int = 42) -> DataFrame:
     """One chunk a text at a seeded offset; shorter texts whole."""
-    room = F.greatest(F.size(tokens) - most, F.lit(0))
-    start = F.pmod(F.xxhash64(F.lit(seed), key), room + 1)
+    start = random_start(F.size(tokens), most, F.col(key), seed)
     return df.withColumn(tokens, F.slice(F.col(tokens), (start + 1).cast("int"), F.lit(most)))
 
 
@@ -174,3 +179,17 @@ def span_infill(df: DataFrame, tokens: str, key: str, mask_ids: list[int], rate:
 
     kind = dict(df.dtypes)[key]
     return df.select(key, tokens).mapInPandas(run, f"`{key}` {kind}, input_ids array<int>, labels array<int>")
+
+
+def span_restore(input_ids: Column, labels: Column) -> Column:
+    """The tokens that ``span_infill`` took apart: each mark, a negative id, is followed by what it stands for in the learned part."""
+    body = F.filter(F.zip_with(input_ids, labels, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["y"] == -100)
+    learned = F.filter(labels, lambda y: y != -100)
+
+    def of(mark: Column) -> Column:
+        at = F.array_position(learned, mark).cast("int")
+        rest = F.slice(learned, at + 1, F.size(learned))
+        end = F.array_position(F.transform(rest, lambda x: x < 0), True).cast("int")
+        return F.slice(rest, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(rest)))
+
+    return F.flatten(F.transform(body, lambda p: F.when(p["x"] < 0, of(p["x"])).otherwise(F.array(p["x"]))))

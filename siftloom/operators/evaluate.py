@@ -82,8 +82,9 @@ def mapped(pairs: Mapping[str, str], default: str):
     return lambda r: F.transform(r, lambda x: F.coalesce(F.try_element_at(table, x), F.lit(default)))
 
 
+@response_filter("multi_choice")
 def multi_choice(pattern: str, select: int = 0, fallback: str = "[invalid]", ignore_case: bool = False, ignore_punctuation: bool = False, ignore: Sequence[str] = ()):
-    """A pandas function (responses, choices) that finds ``(A)`` by pattern, else by the text of a choice, else by ``: A``."""
+    """A function of (responses, choices), arrays both, that finds ``(A)`` by pattern, else by the text of a choice, else by ``: A``."""
     import re
 
     def clean(s: str) -> str:
@@ -121,10 +122,11 @@ def multi_choice(pattern: str, select: int = 0, fallback: str = "[invalid]", ign
     return run
 
 
-def pipeline(responses: Column, steps: Iterable[tuple]) -> Column:
-    """Filters in order: each a name with its arguments."""
+def pipeline(responses: Column, steps: Iterable[tuple], choices: Column | None = None) -> Column:
+    """Filters in order: each a name with its arguments; ``multi_choice`` reads the ``choices`` of the document too."""
     for name, *args in steps:
-        responses = FILTERS[name](*args)(responses)
+        made = FILTERS[name](*args)
+        responses = made(responses, choices) if name == "multi_choice" else made(responses)
     return responses
 
 
@@ -471,6 +473,53 @@ def squad_report(df: DataFrame, prediction: str, references: str, no_answer: str
     return rows.agg(*[(100 * F.avg(F.when(s, F.col(m)))).alias(k + m) for k, s in sides.items() for m in ("exact", "f1")], F.count("*").alias("n"))
 
 
+def squad_thresholds(df: DataFrame, prediction: str, references: str, no_answer: str, key: str) -> DataFrame:
+    """One row: the best exact and F1 that a threshold on the no-answer probability can reach, and the thresholds.
+
+    ``best_exact, best_exact_thresh, best_f1, best_f1_thresh``. Rows up to a threshold answer,
+    the others say nothing. From saying nothing (threshold 0) rows join in order of their
+    probability, ties by ``key``; the first best wins. Running totals carry it, so no task
+    holds all rows.
+    """
+    from siftloom.functions.text import answer_form, token_f1
+    from siftloom.operators.prefix import running_total
+
+    p = F.coalesce(F.col(prediction), F.lit(""))
+    has, says = F.size(references) > 0, answer_form(p) != ""
+    exact = best_over(F.col(references), lambda r: (answer_form(r) == answer_form(p)).cast("double"))
+    f1 = best_over(F.col(references), lambda r: token_f1(p, r))
+    # What answering adds to saying nothing.
+    gain = lambda m: F.when(has, m).when(says, F.lit(-1.0)).otherwise(F.lit(0.0))
+    rows = df.select(key, F.col(no_answer).alias("_p"), gain(exact).alias("_e"), gain(f1).alias("_f"), (~has).cast("double").alias("_none"))
+    summed = running_total(rows, [], [F.col("_p"), F.col(key)], {"exact": F.col("_e"), "f1": F.col("_f"), "place": F.lit(1)})
+    whole = rows.agg(F.count("*").alias("_n"), F.sum("_none").alias("_base"))
+    best = lambda c: F.max(F.struct(F.round(F.col(c), 9).alias("v"), (-F.col("place")).alias("at"), F.col("_p").alias("t")))
+    top = summed.agg(best("exact").alias("e"), best("f1").alias("f")).crossJoin(F.broadcast(whole))
+    value = lambda c: (100.0 * (F.col("_base") + F.greatest(F.col(c)["v"], F.lit(0.0))) / F.col("_n"))
+    at = lambda c: F.when(F.col(c)["v"] > 0, F.col(c)["t"]).otherwise(F.lit(0.0))
+    return top.select(value("e").alias("best_exact"), at("e").alias("best_exact_thresh"), value("f").alias("best_f1"), at("f").alias("best_f1_thresh"))
+
+
+def boxed(text: Column) -> Column:
+    """``boxed_answer`` of a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: boxed_answer(t) if isinstance(t, str) else None)
+
+    return run(text)
+
+
+def bag_f1_of(predicted: Column, gold: Column) -> Column:
+    """``bag_f1`` of two columns of arrays, in Arrow batches; null arrays count as empty."""
+
+    @F.pandas_udf("double")
+    def run(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([bag_f1([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(p, g)], dtype=float)
+
+    return run(predicted, gold)
+
+
 def boxed_answer(text: str) -> str | None:
     r"""What stands in the last ``\boxed{}`` or ``\fbox{}`` of a solution, braces balanced; null if none."""
     start = max(text.rfind("\\boxed"), text.rfind("\\fbox"))
@@ -485,29 +534,44 @@ def boxed_answer(text: str) -> str | None:
     return None
 
 
-# What the normal form of LaTeX answers drops or writes otherwise.
-_LATEX = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""), ("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0.")]
-
-
-def latex_form(answer: str) -> str:
-    """Normal form of a short LaTeX answer: spacing, units, decimals and fractions written one way."""
-    import re
+# Marks without meaning in a short LaTeX answer, and other names of the same command.
+_NO_MEANING = r"\\left|\\right|\\!|\\\$|\\%|%|\^\\circ|\^\{\\circ\}|\s"
+_SAME = [(r"\\[td]frac", r"\\frac"), (r"\\\\", r"\\")]
+_UNIT = r"\\text\{ .*$"
+_NUMBER = r"(?<![\d.])\.(?=\d)"
+_PART = r"(\{[^{}]*\}|\\[a-zA-Z]+|[^{}\\\s])"
 
-    for old, new in _LATEX:
-        answer = answer.replace(old, new)
-    answer = answer.split("\\text{ ")[0]
-    if answer.startswith("."):
-        answer = "0" + answer
-    if answer.count("=") == 1 and len(answer.split("=")[0].strip()) <= 2:
-        answer = answer.split("=")[1]
-    answer = re.sub(r"\\sqrt\s*([^{\s])", r"\\sqrt{\1}", answer).replace(" ", "")
-    answer = re.sub(r"\\frac([^{])([^{])", r"\\frac{\1}{\2}", answer)
-    answer = re.sub(r"\\frac\{([^}]*)\}([^{])", r"\\frac{\1}{\2}", answer)
-    return "\\frac{1}{2}" if answer == "0.5" else re.sub(r"^(-?\d+)/(-?\d+)$", r"\\frac{\1}{\2}", answer)
 
+def latex_form(answer: Column) -> Column:
+    r"""Normal form of a short LaTeX answer.
 
-def latex_equal(a: str | None, b: str | None) -> bool:
-    return (a is None and b is None) or (a is not None and b is not None and latex_form(a) == latex_form(b))
+    An answer is a number, fraction, root or text, perhaps named by one letter or two and
+    followed by a unit. Units, names, spacing and size commands go; decimals begin with a
+    digit; arguments of ``\frac`` and ``\sqrt`` stand in braces; a plain ratio of whole
+    numbers, and a half, are written as ``\frac``. Null stays null.
+    """
+    out = F.regexp_replace(answer, _UNIT, "")
+    for old, new in _SAME:
+        out = F.regexp_replace(out, old, new.replace("\\", "\\\\") if new != r"\\" else "\\\\")
+    out = F.regexp_replace(out, r"(\\frac|\\sqrt)\s+", "$1")
+    out = F.regexp_replace(out, _NO_MEANING, "")
+    out = F.regexp_replace(out, _NUMBER, "0.")
+    out = F.regexp_replace(out, r"^[^=]{0,2}=([^=]*)$", "$1")
+    braced = lambda x: F.concat(F.lit("{"), F.regexp_replace(x, r"^\{|\}$", ""), F.lit("}"))
+    for command, n in (("frac", 2), ("sqrt", 1)):
+        # Each command with its arguments is one piece, rewritten by itself.
+        whole = rf"\\{command}" + _PART * n
+        found = F.regexp_extract_all(out, F.lit(f"({whole})"), F.lit(1))
+        made = F.transform(found, lambda x: F.concat(F.lit(f"\\{command}"), *[braced(F.regexp_extract(x, whole, k + 1)) for k in range(n)]))  # noqa: B023
+        rest = F.split(out, whole, -1)
+        out = F.array_join(F.flatten(F.zip_with(rest, made, lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+    out = F.regexp_replace(out, r"^(-?\d+)/(-?\d+)$", r"\\frac{$1}{$2}")
+    return F.when(out == "0.5", F.lit("\\frac{1}{2}")).otherwise(out)
+
+
+def latex_equal(a: Column, b: Column) -> Column:
+    """Whether two LaTeX answers have the same normal form; two nulls do."""
+    return latex_form(a).eqNullSafe(latex_form(b))
 
 
 def rouge(prediction: Column, reference: Column, n: int = 1) -> Column:
@@ -536,6 +600,86 @@ def likelihood_preference(first: Column, second: Column) -> Column:
     return F.struct(F.abs(first - second).alias("likelihood_diff"), (first > second).cast("double").alias("prefers_first"))
 
 
+def loglikelihood_rows(df: DataFrame, key: str, logprobs: str, greedy: str) -> DataFrame:
+    """``key, loglikelihood, is_greedy``: the sum of the log probabilities of the answer's tokens, and whether each was the likeliest."""
+    total = F.aggregate(logprobs, F.lit(0.0), lambda s, x: s + x)
+    return df.select(key, total.alias("loglikelihood"), F.coalesce(F.forall(greedy, lambda g: g), F.lit(False)).alias("is_greedy"))
+
+
+def rolling_rows(df: DataFrame, key: str, loglikelihood: str, text: str) -> DataFrame:
+    """``key, metric, loglikelihood, weight``: the rows of word and byte perplexity and bits per byte of a rolling log likelihood.
+
+    Words are the parts between runs of white space, bytes those of UTF-8. Null texts give none.
+    """
+    from siftloom.functions.text import byte_count, word_count
+
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), w.cast("long").alias("weight")) for m, w in (("word_perplexity", word_count(F.col(text))), ("byte_perplexity", byte_count(F.col(text))), ("bits_per_byte", byte_count(F.col(text))))])
+    return df.where(F.col(text).isNotNull()).select(key, F.col(loglikelihood).alias("loglikelihood"), F.explode(each).alias("x")).select(key, "x.metric", "loglikelihood", "x.weight")
+
+
+def rolling_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by, metric, value`` of ``rolling_rows``."""
+    mean = ratio(F.sum("loglikelihood"), F.sum("weight"))
+    value = F.when(F.col("metric") == "bits_per_byte", -F.col("m") / math.log(2)).otherwise(F.exp(-F.col("m")))
+    return rows.groupBy(*by, "metric").agg(mean.alias("m")).select(*by, "metric", value.alias("value"))
+
+
+def flat_accuracy(df: DataFrame, by: Sequence[str], results: str) -> DataFrame:
+    """``by, n, acc``: share of true among all the checks of all documents, laid flat."""
+    flat = df.select(*by, F.explode(results).alias("_ok"))
+    return flat.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("_ok"), F.lit(False)).cast("double")).alias("acc"))
+
+
+def reference_scores(df: DataFrame, by: Sequence[str], prediction: str, references: str) -> DataFrame:
+    """``by, n, em, f1``: exact match and token F1 against the best of each document's references; none score 0."""
+    from siftloom.functions.text import answer_form, token_f1
+
+    p = F.col(prediction)
+    exact = F.coalesce(best_over(F.col(references), lambda r: (answer_form(r) == answer_form(p)).cast("double")), F.lit(0.0))
+    f1 = F.coalesce(best_over(F.col(references), lambda r: token_f1(p, r)), F.lit(0.0))
+    return df.select(*by, exact.alias("_e"), f1.alias("_f")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("_e").alias("em"), F.avg("_f").alias("f1"))
+
+
+def mean_class_f1(df: DataFrame, by: Sequence[str], truth: Column, predicted: Column, classes: Sequence) -> DataFrame:
+    """``by, f1``: plain mean of the F1 of each class against the rest; a class neither side has scores 0."""
+    one = lambda c: F.when(F.count_if(truth == c) + F.count_if(predicted == c) > 0, 2.0 * F.count_if((truth == c) & (predicted == c)) / (F.count_if(truth == c) + F.count_if(predicted == c))).otherwise(F.lit(0.0))
+    return df.groupBy(*by).agg((sum((one(c) for c in classes), F.lit(0.0)) / len(classes)).alias("f1"))
+
+
+def smoothed_bleu(df: DataFrame, key: str, prediction: str, reference: str, order: int = 4) -> DataFrame:
+    """``key, bleu`` (0 to 100) of each pair: counts of longer n-grams are raised by one, so short answers don't score 0."""
+    from siftloom.functions.text import multiset_overlap, word_ngrams, words
+
+    logs, sizes = F.lit(0.0), None
+    for n in range(1, order + 1):
+        a, b = word_ngrams(F.col(prediction), n), word_ngrams(F.col(reference), n)
+        add = 1 if n > 1 else 0
+        logs = logs + F.log((multiset_overlap(a, b) + add) / F.greatest(F.size(a) + add, F.lit(1)))
+        sizes = F.size(a) if n == 1 else sizes
+    r = F.size(words(F.col(reference)))
+    penalty = F.when(sizes < r, F.exp(1 - r / F.greatest(sizes, F.lit(1)))).otherwise(F.lit(1.0))
+    some = multiset_overlap(word_ngrams(F.col(prediction), 1), word_ngrams(F.col(reference), 1)) > 0
+    return df.select(key, F.when(some, 100.0 * penalty * F.exp(logs / order)).otherwise(F.lit(0.0)).alias("bleu"))
+
+
+def exploded_answers(df: DataFrame, key: str, answers: str) -> DataFrame:
+    """``key, answer_no, answer``: each distinct answer of a document once, in order of first appearance."""
+    return df.select(key, F.posexplode(F.array_distinct(answers)).alias("answer_no", "answer"))
+
+
+def grouped_requests(df: DataFrame, context: Sequence[str], key: str) -> DataFrame:
+    """``context, n, keys``: requests of the same context together, so that it is run once; keys in order."""
+    return df.groupBy(*context).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("keys"))
+
+
+def regression_table(first: DataFrame, second: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """``task, metric, before, after, diff, verdict`` of two runs' ``task, metric, value``; what only one run has is ``added`` or ``removed``."""
+    both = first.select("task", "metric", F.col("value").alias("before")).join(second.select("task", "metric", F.col("value").alias("after")), ["task", "metric"], "full_outer")
+    diff = F.col("after") - F.col("before")
+    verdict = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(diff > tolerance, "better").when(diff < -tolerance, "worse").otherwise("same")
+    return both.select("task", "metric", "before", "after", diff.alias("diff"), verdict.alias("verdict"))
+
+
 def leave_one_out(references: Column) -> Column:
     """For each reference the others; a single reference is kept."""
     return F.when(F.size(references) > 1, F.transform(references, lambda r, i: F.concat(F.slice(references, F.lit(1), i), F.slice(references, i + 2, F.size(references))))).otherwise(F.array(references))
@@ -544,6 +688,40 @@ def leave_one_out(references: Column) -> Column:
 # ---- fields of a task -------------------------------------------------------------------------------------------
 
 
+#: What a template may do with a value, by name.
+TEMPLATE_FILTERS: dict[str, Callable[..., Column]] = {
+    "regex_replace": lambda c, old, new="": F.regexp_replace(c, old, new), "replace": lambda c, old, new: F.replace(c, F.lit(old), F.lit(new)), "trim": F.trim, "lower": F.lower, "upper": F.upper,
+    "capitalize": lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30))), "length": F.length, "string": lambda c: c.cast("string"), "default": lambda c, x: F.coalesce(c, F.lit(x)),
+    "join": lambda c, by="": F.array_join(c, by), "first": lambda c: F.try_element_at(c, F.lit(1)), "last": lambda c: F.try_element_at(c, F.lit(-1)),
+}
+
+
+def _rendered(body: str, columns: Sequence[str]) -> Column:
+    """One ``{{ }}`` part: a field, an element ``field[2]`` or ``field[other]``, or a quoted text, with filters behind ``|``."""
+    import ast
+    import re
+
+    value, *filters = re.split(r"""\|(?=(?:[^'"]|'[^']*'|"[^"]*")*$)""", body)
+    value = value.strip()
+    if m := re.fullmatch(r"([\w.]+)\[(-?\w+)\]", value):
+        name, at = m.groups()
+        place = F.lit(int(at)) if at.lstrip("-").isdigit() else F.col(at).cast("int")
+        out = F.try_element_at(F.col(name), F.when(place >= 0, place + 1).otherwise(place))
+    elif value[:1] in "'\"":
+        name, out = None, F.lit(ast.literal_eval(value))
+    else:
+        name, out = value, F.col(value)
+    if name is not None and name.split(".")[0] not in columns:
+        raise ValueError(f"unknown field {name!r}")
+    for f in filters:
+        m = re.fullmatch(r"\s*(\w+)\s*(\(.*\))?\s*", f, re.S)
+        if not m or m[1] not in TEMPLATE_FILTERS:
+            raise ValueError(f"unknown filter {f!r}")
+        args = ast.literal_eval(f"({m[2][1:-1]},)") if m[2] and m[2] != "()" else ()
+        out = TEMPLATE_FILTERS[m[1]](out, *args)
+    return out
+
+
 def resolve(spec, columns: Sequence[str]) -> Column:
     """The value a task names: a Column builder, number, column, ``{{field}}`` template, list, or text.
 
@@ -562,9 +740,9 @@ def resolve(spec, columns: Sequence[str]) -> Column:
         while "{{" in rest:
             head, _, rest = rest.partition("{{")
             name, closed, rest = rest.partition("}}")
-            if not closed or name.strip().split(".")[0] not in columns:
-                raise ValueError(f"unknown field in {spec!r}")
-            parts += [F.lit(head), F.coalesce(F.col(name.strip()).cast("string"), F.lit(""))]
+            if not closed:
+                raise ValueError(f"open field in {spec!r}")
+            parts += [F.lit(head), F.coalesce(_rendered(name, columns).cast("string"), F.lit(""))]
         return F.concat(*parts, F.lit(rest))
     if spec.isdigit():
         return F.lit(int(spec))
@@ -598,6 +776,17 @@ CHECKS: dict[str, Callable[..., Column]] = {
     "ends_with": lambda r, s: F.endswith(F.lower(F.trim(F.regexp_replace(F.trim(r), '^"|"$', ""))), F.lit(s.lower())),
     "quoted": lambda r: (F.length(F.trim(r)) > 1) & F.startswith(F.trim(r), F.lit('"')) & F.endswith(F.trim(r), F.lit('"')),
     "json": lambda r: F.try_parse_json(F.regexp_replace(F.trim(r), r"^```(?:json|JSON|Json)?\s*|\s*```$", "")).isNotNull(),
+    "keyword_times": lambda r, word, n, least=True: (F.size(F.regexp_extract_all(F.lower(r), F.lit(rf"\Q{word.lower()}\E"), F.lit(0))) >= n) == F.lit(least),
+    "letter_times": lambda r, letter, n, least=True: (F.length(r) - F.length(F.translate(F.lower(r), letter.lower(), "")) >= n) == F.lit(least),
+    "sentences": lambda r, n, least=True: (F.size(F.regexp_extract_all(r, F.lit(r"[^.!?]*[.!?]+(?=\s|$)|[^.!?]+$"), F.lit(0))) >= n) == F.lit(least),
+    "highlights": lambda r, n: F.size(F.filter(F.regexp_extract_all(r, F.lit(r"\*{1,2}([^\n*]*)\*{1,2}"), F.lit(1)), lambda x: F.trim(x) != "")) >= n,
+    "sections": lambda r, name, n: F.size(F.split(r, rf"\s?\Q{name}\E\s?\d+\s?")) > n,
+    "postscript": lambda r, mark: F.lower(r).rlike({"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(mark, rf"\Q{mark.lower()}\E")),
+    "two_responses": lambda r: (F.size(F.filter(F.split(r, r"\*{6}"), lambda p: F.trim(p) != "")) == 2) & (F.size(F.array_distinct(F.transform(F.filter(F.split(r, r"\*{6}"), lambda p: F.trim(p) != ""), F.trim))) == 2),
+    "repeats_prompt": lambda r, prompt: F.startswith(F.lower(F.trim(r)), F.lower(F.trim(prompt if isinstance(prompt, Column) else F.lit(prompt)))),
+    "one_of": lambda r, *options: F.exists(F.array(*map(F.lit, options)), lambda o: F.contains(F.trim(r), o)),
+    "paragraph_starts": lambda r, n, k, word: (F.size(F.filter(F.split(r, r"\n\n"), lambda p: F.trim(p) != "")) == n) & F.coalesce(F.lower(F.regexp_extract(F.try_element_at(F.split(r, r"\n\n"), F.lit(k)), r"^\W*(\w+)", 1)) == word.lower(), F.lit(False)),
+    "capital_words": lambda r, n, least=True: (F.size(F.regexp_extract_all(r, F.lit(r"\b[A-Z]+\b"), F.lit(0))) >= n) == F.lit(least),
     "title": lambda r: r.rlike(r"<<[^\n]*[^\s<>][^\n]*>>"),
 }
 

@@ -116,7 +116,7 @@ def fewshot_random(docs: DataFrame, pool: DataFrame, by: str, doc: str, k: int,
 
 def shuffled_choices(choices: Column, key: Column, seed: int = 0) -> Column:
     """The choices in an order that depends on the document and seed alone."""
-    return F.transform(F.array_sort(F.transform(choices, lambda c, i: F.struct(F.xxhash64(F.lit(seed), key, i, c).alias("h"), i.alias("i"), c.alias("c")))), lambda s: s["c"])
+    return F.transform(F.array_sort(F.transform(choices, lambda c, i: F.struct(draw(F.lit(seed), key, i, c).alias("h"), i.alias("i"), c.alias("c")))), lambda s: s["c"])
 
 
 def length_order(df: DataFrame, length: Column, row: str) -> DataFrame:

@@ -65,7 +65,7 @@ def top_by_budget(attributes: DataFrame, budgets: DataFrame, by: list[str], bott
 
 
 def _totals(attributes: DataFrame, by: list[str]) -> DataFrame:
-    return attributes.groupBy(*by).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n"))
+    return attributes.groupBy(*by).agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n"), F.min("metric").alias("lowest"), F.max("metric").alias("highest"))
 
 
 def budgets_for(attributes: DataFrame, tokens: int, strategy: str) -> tuple[DataFrame, list[str]]:
@@ -97,7 +97,7 @@ def select_subset(
 ) -> DataFrame:
     """Rows of the subset, with their attributes and ``copy_no`` (0, or 1 and up for up-sampled copies).
 
-    Filters come first, as shares are taken of what is left. ``strategy=None`` keeps every
+    Rows whose metrics are all equal come in a seeded permutation. Filters come first, as shares are taken of what is left. ``strategy=None`` keeps every
     row. An empty table gives an empty subset; a budget over the total gives every row, and
     with ``upsample`` also draws with replacement until the budget is reached.
     """
@@ -105,6 +105,10 @@ def select_subset(
         return attributes.withColumn("copy_no", F.lit(0))
     budgets, by = budgets_for(attributes, tokens, strategy)
     budgets = checkpointed(budgets)
+    if seed is None:
+        # Where no metric tells rows apart, a permutation does, so that the subset is no run of ids.
+        ends = budgets.agg(F.min("lowest").alias("low"), F.max("highest").alias("high")).first()
+        seed = 0 if ends.low is not None and ends.low == ends.high else None
     chosen = top_by_budget(attributes, budgets, by, bottom, margin, seed)
     if not upsample:
         return chosen.drop("place").withColumn("copy_no", F.lit(0))

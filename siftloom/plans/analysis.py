@@ -167,4 +167,6 @@ def order_rollup(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100""")
 def top_lines(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(100)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    # Of equal prices the least order and line come first.
+    return op.greatest_k(lines, F.struct("l_extendedprice", (-F.col("l_orderkey")).alias("o"), (-F.col("l_linenumber")).alias("n")), 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis, evaluation, selection, supervision, texts  # noqa: F401
+from . import analysis, evaluation, metrics, selection, storage, supervision, texts  # noqa: F401
 from .registry import QUERIES, SQL
 
 

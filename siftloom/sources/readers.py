@@ -6,6 +6,8 @@ import io
 import json
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import islice
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,38 +78,79 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return lines.join(starts, ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), "value")
 
 
+def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
+    """Of numbered lines those from number ``first`` to ``last``, both included, of each file."""
+    return lines.where(F.col("line_no").between(first, last))
+
+
 def with_document_ids(lines: DataFrame) -> DataFrame:
     """Adds ``document_index`` as ``<source>_<line>`` to numbered lines."""
     return lines.withColumn("document_index", F.concat_ws("_", source_of_path(F.col("path")), F.col("line_no").cast("string")))
 
 
+def _lines(stream, join_paragraphs: bool, joiner: str) -> Iterator[tuple]:
+    """``text, meta`` of each JSON line of a compressed stream, which is read as it goes."""
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
+    for line in io.TextIOWrapper(reader, encoding="utf-8"):
+        if not line.strip():
+            continue
+        x = json.loads(line)
+        text, meta = (x, None) if isinstance(x, str) else (x.get("text"), x.get("meta"))
+        if isinstance(text, list) and join_paragraphs:
+            text = joiner.join(text)
+        yield text if isinstance(text, str) or text is None else json.dumps(text, ensure_ascii=False), None if meta is None else json.dumps(meta, ensure_ascii=False)
+
+
+def _batches(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=["text", "meta"])
+
+
 def read_archive(spark: SparkSession, paths: str | Sequence[str], join_paragraphs: bool = True, joiner: str = "\n\n") -> DataFrame:
     """``text, meta`` of zstd-compressed JSON lines: bare strings, or objects with ``text`` (string or paragraphs) and ``meta``.
 
-    A compressed file can't be split; archives come as many files, one task each, streamed.
+    A compressed file can't be split; archives come as many files, one task each. Files on a
+    mounted folder are streamed from their path, so their size does not matter; elsewhere
+    a file is read whole, up to 2 GB.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
+        for pdf in batches:
+            for path in pdf["path"]:
+                with open(unquote(urlsplit(path).path), "rb") as f:
+                    yield from _batches(_lines(f, join_paragraphs, joiner))
 
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                rows = []
-                for line in io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True), encoding="utf-8"):
-                    if not line.strip():
-                        continue
-                    x = json.loads(line)
-                    text, meta = (x, None) if isinstance(x, str) else (x.get("text"), x.get("meta"))
-                    if isinstance(text, list) and join_paragraphs:
-                        text = joiner.join(text)
-                    rows.append((text if isinstance(text, str) or text is None else json.dumps(text, ensure_ascii=False), None if meta is None else json.dumps(meta, ensure_ascii=False)))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["text", "meta"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["text", "meta"])
-
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInPandas(run, "text string, meta string")
+                yield from _batches(_lines(io.BytesIO(content), join_paragraphs, joiner))
+
+    files = spark.read.format("binaryFile").load(paths)
+    mounted = all(urlsplit(p).scheme in ("", "file") for p in ([paths] if isinstance(paths, str) else paths)) and spark.conf.get("spark.hadoop.fs.defaultFS", "file:///").startswith("file:")
+    if mounted:
+        # Only paths and sizes are read here; a task a file.
+        named = files.select("path", "length").where("length > 0").select("path")
+        return named.repartition("path").mapInPandas(run, "text string, meta string")
+    return files.select("content").mapInPandas(whole, "text string, meta string")
+
+
+def read_archive_frames(spark: SparkSession, path: str) -> DataFrame:
+    """``text, meta`` of what ``write_archive`` wrote, before or without its export to plain files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for frame in pdf["frame"]:
+                yield from _batches(_lines(io.BytesIO(frame), True, "\n\n"))
+
+    return spark.read.parquet(path).select("frame").mapInPandas(run, "text string, meta string")
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """``bucket, ngram, key`` of the lines that ``write_buckets`` wrote; lines of one n-gram follow each other in one bucket."""
+    lines = spark.read.schema("value string, bucket int").text(path)
+    return lines.select("bucket", F.regexp_extract("value", r"^(?s)(.*) ([^ ]*)$", 1).alias("ngram"), F.regexp_extract("value", r"^(?s)(.*) ([^ ]*)$", 2).alias("key"))
 
 
 def read_responses(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -138,4 +181,4 @@ def natural_order(path: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_extract(path, r"([^/]+)$", 1), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 20, "0")).otherwise(p))
 
 
-__all__ = ["DOCUMENT", "canonical", "count_lines", "natural_order", "numbered_lines", "read_archive", "read_documents", "read_responses", "read_split", "read_union", "read_with_labels", "source_of_path", "with_document_ids"]
+__all__ = ["DOCUMENT", "canonical", "count_lines", "line_range", "natural_order", "numbered_lines", "read_archive", "read_archive_frames", "read_buckets", "read_documents", "read_responses", "read_split", "read_union", "read_with_labels", "source_of_path", "with_document_ids"]

@@ -107,8 +107,17 @@ def test_correlation_of_constants(spark):
     assert df.agg(numeric.correlation(F.col("x"), F.col("y")).alias("c")).first().c is None
 
 
-def test_latex_and_bags():
+def test_latex_and_bags(spark):
     assert evaluate.boxed_answer(r"so \boxed{a} then \boxed{\frac{1}{2}}.") == r"\frac{1}{2}" and evaluate.boxed_answer("none") is None
-    assert evaluate.latex_equal(r"\frac12", r"\dfrac{1}{2}") and evaluate.latex_equal("0.5", r"\frac{1}{2}") and evaluate.latex_equal("x=3", "3") and not evaluate.latex_equal("3", "4")
+    equal = [(r"\frac12", r"\dfrac{1}{2}"), ("0.5", r"\frac{1}{2}"), ("x=3", "3"), (r"\sqrt3", r"\sqrt{3}"), ("3/4", r"\frac{3}{4}"), (r"10\text{ cm}", "10"), (r"90^\circ", "90"), (".25", "0.25"), (r"\frac{a}b", r"\frac{a}{b}"), (None, None), (r"50\%", "50"), (r"\left( 1, 2 \right)", "(1,2)"), (r"2\sqrt 5+\tfrac34", r"2\sqrt{5}+\frac{3}{4}")]
+    other = [("3", "4"), ("3", None), (r"\frac12", r"\frac21"), ("long=3", "3")]
+    df = spark.createDataFrame([(a, b, True) for a, b in equal] + [(a, b, False) for a, b in other], "a string, b string, same boolean")
+    wrong = [tuple(r) for r in df.select("a", "b", "same", evaluate.latex_equal(F.col("a"), F.col("b")).alias("x")).collect() if r.x != r.same]
+    assert not wrong
     assert evaluate.bag_f1(["red cat", "dog"], ["dog", "red cat"]) == 1.0 and evaluate.bag_f1(["3 cats"], ["4 cats"]) == 0.0 and evaluate.bag_f1([], ["x"]) == 0.0
     assert evaluate.bag_f1(["a b"], ["a b", "c"]) == 0.5
+
+
+def test_multiset_overlap_counts(spark):
+    df = spark.createDataFrame([(["a", "b", "a", None], ["a", "a", "a", "c"]), ([], ["a"]), (["x"] * 500, ["x"] * 300 + ["y"])], "a array<string>, b array<string>")
+    assert [r.n for r in df.select(text.multiset_overlap(F.col("a"), F.col("b")).alias("n")).collect()] == [2, 0, 300]

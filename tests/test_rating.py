@@ -38,6 +38,13 @@ def test_chinese_answers_keep_whole_scores(spark):
     assert row.outcome == "ok" and row.scores == [2.0] + [4.5] * 13 and row.category == "F"
 
 
+def test_chinese_numbers_must_be_closed(spark):
+    """A bracketed number counts only as an item of its own: not with another digit or word inside."""
+    odd = ["[15]附注：3/5", "[1]：4/5", "[2019年]：5/5"]
+    df = spark.createDataFrame([(x,) for x in [*odd, "[14]总评：3/5"]], "a string")
+    assert [list(r.s) for r in df.select(parse.scores(F.col("a"), "zh").alias("s")).collect()] == [[], [], [], [3.0]]
+
+
 def test_requests_and_texts(spark):
     docs = spark.createDataFrame([("en_a_7", '"..."Some $1 {text} body'), ("b_1", None)], "document_index string, text string")
     built = {r["index"]: r.request_json for r in parse.build_requests(docs, "document_index", "text", "Rate:\nText: {text}\nDomain Types: x", "m", 0.5, 9).collect()}
