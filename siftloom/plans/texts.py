@@ -160,12 +160,12 @@ def _split_sql(text: str) -> str:
 @query(f"""WITH c AS (SELECT w, count(*) AS n FROM (SELECT unnest({_split_sql("query")}) AS w FROM eval_items) GROUP BY 1), t AS (SELECT sum(n) + count(*) + 1 AS total FROM c),
     d AS (SELECT doc_id, unnest({_split_sql("text")}) AS w FROM documents),
     l AS (SELECT doc_id, count(*) AS n, sum(ln((coalesce(c.n, 0) + 1) / total)) AS ll FROM d LEFT JOIN c USING (w), t GROUP BY 1)
-    SELECT doc_id, CAST(coalesce(l.n, 0) AS INTEGER) AS n, round(exp(-coalesce(ll, 0.0) / greatest(coalesce(l.n, 0), 1)), 3) AS ppl FROM documents LEFT JOIN l USING (doc_id)""")
+    SELECT doc_id, CAST(coalesce(l.n, 0) AS INTEGER) AS n, round(exp(-coalesce(ll, 0.0) / greatest(coalesce(l.n, 0), 1)), 6) AS ppl FROM documents LEFT JOIN l USING (doc_id)""")
 def perplexity_scores(spark, d):
     """Unigram perplexity of whole texts by a model fitted on the fixed test items."""
     items = [r.query for r in table(spark, d, "eval_items").select("query").collect()]
     logs = score.token_logprobs(table(spark, d, "documents"), "doc_id", "text", lambda: score.UnigramModel.fit(items), "unigram", most=None)
-    return logs.select("doc_id", F.size("logprobs").alias("n"), F.round(score.perplexity(F.col("logprobs")), 3).alias("ppl"))
+    return logs.select("doc_id", F.size("logprobs").alias("n"), F.round(score.perplexity(F.col("logprobs")), 6).alias("ppl"))
 
 
 @query(rf"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^["“”](?:…+|\.\.\.+)["“”]', ''), '!\[\]\([/]?[^)]+\)\n', '', 'g') AS p FROM documents WHERE text IS NOT NULL),
