@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.text import LOWER, PUNCTUATION, UPPER, ngram_form, word_ngrams
+from siftloom.session import checkpointed
 
 _TABLE = str.maketrans(UPPER + PUNCTUATION, LOWER + "\0" * len(PUNCTUATION))
 #: Most n-grams of held-out texts that are sent to every task, about 100 MB; more are joined by shuffle.
@@ -25,18 +26,31 @@ def gram_table(df: DataFrame, key: str, text: str, n: int = 13) -> DataFrame:
     return df.select(F.col(key), F.explode(F.array_distinct(word_ngrams(ngram_form(F.col(text)), n))).alias("ngram"))
 
 
+def _grams(text: str, n: int) -> Column:
+    return F.array_distinct(word_ngrams(ngram_form(F.col(text)), n))
+
+
 def frequent_ngrams(df: DataFrame, key: str, text: str, n: int = 13, more_than: int = 10) -> DataFrame:
-    """``ngram, n_docs`` of n-grams in more than so many distinct texts. Texts count once each, so no distinct count is needed."""
-    return gram_table(df, key, text, n).groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
+    """``ngram, n_docs`` of n-grams in more than so many distinct texts. Texts count once each, so no distinct count is needed.
+
+    Counted as 64-bit hashes first, an eighth of the strings; then as strings where the hash
+    is frequent, so n-grams of one hash are told apart. ``df`` is read twice.
+    """
+    hashed = df.select(F.explode(F.array_distinct(F.transform(_grams(text, n), lambda g: F.xxhash64(g)))).alias("h"))
+    often = checkpointed(hashed.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > more_than).select("h"))
+    often = F.broadcast(often) if often.count() <= BROADCAST_GRAMS else often
+    grams = df.select(F.explode(_grams(text, n)).alias("ngram")).withColumn("h", F.xxhash64("ngram"))
+    return grams.join(often, "h").groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > more_than)
 
 
 def overlap(train: DataFrame, key: str, text: str, held_out: DataFrame, held_key: str, held_text: str, n: int = 13) -> DataFrame:
     """``held_key, n_grams, n_docs``: held-out texts with an n-gram in some training text.
 
-    The held-out side is by far the smaller: its n-grams prune the training side before
-    anything is counted.
+    The n-grams of the held-out side are sent to every task up to ``BROADCAST_GRAMS``, so of
+    the training side only hits are shuffled; beyond, both sides are joined by shuffle.
     """
-    wanted = gram_table(held_out, held_key, held_text, n)
+    wanted = checkpointed(gram_table(held_out, held_key, held_text, n))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_GRAMS else wanted
     hits = gram_table(train, key, text, n).join(wanted, "ngram")
     return hits.groupBy(held_key).agg(F.countDistinct("ngram").alias("n_grams"), F.countDistinct(key).alias("n_docs"))
 
