@@ -5,7 +5,9 @@ A sequence is a list of steps, a step the numbers of the features that hold ther
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 
@@ -20,9 +22,34 @@ def _flat(rows: list[Sequence_]) -> tuple[np.ndarray, np.ndarray]:
     return at, np.cumsum(sizes) - sizes
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
+class Chunk(NamedTuple):
+    """Labelled sequences, longest first, with their steps position by position; equal steps have one number."""
+
+    at: np.ndarray  # features of all distinct steps, one after another
+    start: np.ndarray  # where each distinct step begins
+    steps: np.ndarray  # number of the distinct step at each place
+    labels: np.ndarray
+    weights: np.ndarray  # of each sequence
+    active: np.ndarray  # sequences that have a first, second, ... step
+
+
+def chunk(rows: list[Sequence_], labels: list[list[int]], weights: list[float]) -> Chunk:
+    """``rows``, none of them empty, as a chunk."""
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    number: dict[tuple, int] = {}
+    steps, said, active = [], [], []
+    for position in range(len(rows[order[0]])):
+        here = [i for i in order[: active[-1] if active else len(order)] if len(rows[i]) > position]
+        active.append(len(here))
+        steps += [number.setdefault(tuple(rows[i][position]), len(number)) for i in here]
+        said += [labels[i][position] for i in here]
+    at, start = _flat([list(number)])
+    return Chunk(at.astype(np.uint16 if at.max() < 1 << 16 else np.int64), start, np.array(steps, np.int32), np.array(said, np.int8), np.array([weights[i] for i in order], np.float64), np.array(active))
+
+
+def weight(times: int) -> float:
+    """Equal sequences count by the root of their number, so that the common ones don't drown the rest."""
+    return float(np.sqrt(times))
 
 
 class Crf:
@@ -33,55 +60,68 @@ class Crf:
         self.t = np.zeros((n_labels, n_labels))
         self.s = np.zeros(n_labels)
 
-    def fit(self, rows: list[Sequence_], labels: list[list[int]], steps: int = 80, rate: float = 0.3, decay: float = 1e-4) -> Crf:
-        """Maximum likelihood by full gradients with adaptive steps; the same input gives the same weights.
-
-        Label pairs decay faster, so that a pair the sample happens to lack is not ruled out.
-        """
-        # Equal sequences are fitted once, weighted by the root of their number, so that the common ones don't drown the rest.
+    def fit(self, rows: list[Sequence_], labels: list[list[int]], steps: int = 80) -> Crf:
+        """``climb`` over sequences in memory. Equal ones are taken once, by ``weight`` of their number."""
         times: dict[tuple, list] = {}
         for i, (r, y) in enumerate(zip(rows, labels)):
             if len(r):
                 times.setdefault((tuple(map(tuple, r)), tuple(y)), [i, 0])[1] += 1
         if not times:
             return self
-        keep = sorted((i for i, _ in times.values()), key=lambda i: len(rows[i]))
-        number = {i: c for i, c in times.values()}
-        weight = np.sqrt([number[i] for i in keep])
-        at, start = _flat([rows[i] for i in keep])
-        step_of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
-        n = np.array([len(rows[i]) for i in keep])
-        first = np.cumsum(n) - n
-        size, k, features = weight.sum(), self.w.shape[1], self.w.shape[0]
-        y = np.concatenate([np.asarray(labels[i], np.int64) for i in keep])
-        each = np.repeat(weight, n)
-        one = np.eye(k)[y] * each[:, None]
-        inner = np.ones(len(y), bool)
-        inner[first] = False
-        by_feature = lambda p: np.stack([np.bincount(at, p[step_of, j], features) for j in range(k)], 1)
-        seen_w, seen_s = by_feature(one), one[first].sum(0)
-        later = np.flatnonzero(inner)
-        seen_t = np.zeros((k, k))
-        np.add.at(seen_t, (y[later - 1], y[later]), each[later])
+        one = chunk([rows[i] for i, _ in times.values()], [labels[i] for i, _ in times.values()], [weight(n) for _, n in times.values()])
+        return self.climb(lambda crf: crf.slope(one), steps)
+
+    def slope(self, c: Chunk) -> np.ndarray:
+        """What a chunk adds to the gradient of the likelihood, for features, pairs and first labels, and the sum of its weights."""
+        n_features, k = self.w.shape
+        at = c.at.astype(np.int64)
+        e = np.stack([np.add.reduceat(w[at], c.start) for w in np.ascontiguousarray(self.w.T)], 1)
+        e, pair = np.exp(e - e.max(1, keepdims=True)), np.exp(self.t - self.t.max())
+        end = np.cumsum(c.active)
+        here = [e[c.steps[z - m : z]] for z, m in zip(end, c.active)]
+        # Forward and backward sums are scaled to 1 at each step, which the shares below don't see.
+        a = [here[0] * np.exp(self.s - self.s.max())]
+        a[0] /= a[0].sum(1, keepdims=True)
+        for x, m in zip(here[1:], c.active[1:]):
+            a.append((a[-1][:m] @ pair) * x)
+            a[-1] /= a[-1].sum(1, keepdims=True)
+        left, both, b = np.empty((len(c.steps), k)), np.zeros((k, k)), np.ones_like(a[-1])
+        for i in range(len(a) - 1, -1, -1):
+            m, z = c.active[i], end[i]
+            p = a[i] * b
+            p *= (c.weights[:m] / p.sum(1))[:, None]
+            y = c.labels[z - m : z]
+            left[z - m : z] = -p
+            left[np.arange(z - m, z), y] += c.weights[:m]
+            if i:
+                v, before = here[i] * b, a[i - 1][:m]
+                both -= pair * (before.T @ (v * (c.weights[:m] / ((before @ pair) * v).sum(1))[:, None]))
+                y0 = c.labels[z - m - c.active[i - 1] :][:m].astype(np.int64)
+                both += np.bincount(y0 * k + y, c.weights[:m], k * k).reshape(k, k)
+                b = np.ones_like(a[i - 1])
+                b[:m] = v @ pair.T
+                b[:m] /= b[:m].max(1, keepdims=True)
+        sizes = np.diff(np.append(c.start, len(at)))
+        w = np.stack([np.bincount(at, np.repeat(np.bincount(c.steps, x, len(c.start)), sizes), n_features) for x in np.ascontiguousarray(left.T)], 1)
+        return np.concatenate([w.ravel(), both.ravel(), left[: c.active[0]].sum(0), [c.weights.sum()]])
+
+    def climb(self, slope: Callable[[Crf], np.ndarray], steps: int, rate: float = 0.3, decay: float = 1e-4) -> Crf:
+        """Maximum likelihood by full gradients with adaptive steps; ``slope`` sums those of all chunks under the weights it is given.
+
+        Label pairs decay faster, so that a pair the rows happen to lack is not ruled out.
+        """
         w = self.w.astype(np.float64)
-        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (w, self.t, self.s)]
+        values = (w, self.t, self.s)
+        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in values]
         for step in range(1, steps + 1):
-            e = np.add.reduceat(w[at], start, axis=0)
-            a, b, z = np.empty_like(e), np.zeros_like(e), np.empty(len(n))
-            a[first] = e[first] + self.s
-            for i in range(1, int(n[-1])):  # sequences are sorted by length, so those with a step i come last
-                here = first[np.searchsorted(n, i, "right") :] + i
-                a[here] = e[here] + _logsumexp(a[here - 1][:, :, None] + self.t, 1)
-            for i in range(int(n[-1]) - 2, -1, -1):
-                here = first[np.searchsorted(n, i + 1, "right") :] + i
-                b[here] = _logsumexp(self.t + (e[here + 1] + b[here + 1])[:, None, :], 2)
-            z = _logsumexp(a[first + n - 1], 1)
-            whole = np.repeat(z, n)
-            p = np.exp(a + b - whole[:, None]) * each[:, None]
-            joint = a[later - 1][:, :, None] + self.t + (e[later] + b[later])[:, None, :] - whole[later][:, None, None]
-            both = (np.exp(np.minimum(joint, 0.0)) * each[later][:, None, None]).sum(0)
-            grads = [(seen_w - by_feature(p)) / size - decay * w, (seen_t - both) / size - 100 * decay * self.t, (seen_s - p[first].sum(0)) / size]
-            for value, g, (m, v) in zip((w, self.t, self.s), grads, moments):
+            now = Crf(*w.shape)
+            now.w, now.t, now.s = values
+            g = slope(now)
+            if not g[-1]:
+                return self
+            sums = np.split(g[:-1] / g[-1], np.cumsum([w.size, self.t.size]))
+            grads = [sums[0].reshape(w.shape) - decay * w, sums[1].reshape(self.t.shape) - 100 * decay * self.t, sums[2]]
+            for value, g, (m, v) in zip(values, grads, moments):
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99

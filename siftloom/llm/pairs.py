@@ -4,23 +4,32 @@ Method: the clauses of each response are tagged as answer, refusal, echo, foreig
 unfinished by a conditional random field; what each tag covers decides the defect.
 
 The data has no labels, so the field is fitted on rows whose tags are known by how they
-were made, from a bounded sample (``TRAINING_ROWS``): answers that give all that was asked,
-the same cut off anywhere, requests given back whole, in part or changed, answers put under
-a request of the other language or with letters exchanged, and refusals (rows that hold a
-phrase of ``SEEDS`` and no score, and ``DECLINES``). No feature is a list of phrases or of
-words of a language: the field sees layout, what of the request is given or missing, how
-much of a clause stands in the request, how likely its letters are by the n-grams of the
-requests in the language of the instructions and by those of whole answers, and hashed
-words. Words that labelled a refusal are left out of its features in every other copy.
-
-Scale: one pass over the responses, no shuffle; the weights and n-gram tables are 2 MB.
+were made. Every successful row gives some, whatever its length: its answer if it gives all
+that was asked, the same cut off anywhere, its request given back whole, in part or changed,
+its answer under a request of the other language or with letters exchanged, and a refusal
+(its own, if it holds a phrase of ``SEEDS`` and no score, or one of ``DECLINES``). Which
+places, changes and wordings are drawn by a hash of the row. No feature is a list of phrases
+or of words of a language: the field sees layout, what of the request is given or missing,
+how much of a clause stands in the request, how likely its letters are by the n-grams of all
+requests in the language of the instructions and by those of all whole answers, and hashed
+words. Words that labelled a refusal are left out of its features in about every other copy.
+
+Scale: the rows are read four times to fit (see ``fit``) and once to judge. N-grams and
+words are summed by a shuffle, of which 131,072 n-grams and the words of at least one row in
+``KNOWN_ROWS`` reach the driver. Equal sequences of features are counted by a shuffle and
+fitted once; each of the ``FIT_STEPS`` steps is a job over them, of which each task gives
+the driver 180 kB. The weights and n-gram tables are 2 MB.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +37,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.labels import DOMAINS
+from siftloom.session import checkpointed
 
-from .crf import Crf
+from .crf import Chunk, Crf, chunk, weight
 
-#: Most rows the field is fitted on, and most of each kind that is made of them.
-TRAINING_ROWS, KIND_ROWS = 4000, 400
-#: Longest request and response together that is trained on; responses of more clauses are fitted in pieces of so many.
-TRAINING_CHARS, PIECE_CLAUSES = 20_000, 20
-#: Part of the sampled answers, by language and by what is asked, with the least likely letters: not learned as answers, as they may be foreign.
+#: Responses of more clauses are fitted in pieces of so many.
+PIECE_CLAUSES = 20
+#: A word is known if it stands in the requests or in the answers of one row of so many, at least.
+KNOWN_ROWS = 4000
+#: Sequences fitted at a time, and steps of the fit, each over all of them.
+CHUNK, FIT_STEPS = 20_000, 60
+#: Part of the answers, by language and by what is asked, with the least likely letters: not learned as answers, as they may be foreign.
 TRIMMED = 0.05
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -43,9 +55,9 @@ DEFECTS = "request_id bigint, defect string"
 
 # Stand-ins for "no value", without marks and blanks.
 NO_VALUE = {"", "none", "null", "nil", "na", "nan", "empty", "undefined", "noresponse", "noanswer", "novalue", "noreply", "无", "空", "暂无", "没有", "无回复", "无回答", "无响应"}
-# Phrases by which a sampled row without a score is taken as a refusal for training.
+# Phrases by which a row without a score is taken as a refusal for training.
 SEEDS = re.compile(r"\b(?:can(?:no|')t|cannot|unable|not able|decline|refuse|not possible)\b|无法|拒绝|没有办法|不能提供", re.I)
-# Refusals that are trained on beside those of the sample, each opening with each body.
+# Refusals that are trained on beside those of the table, each opening with each body.
 DECLINES = {
     False: (["", "Sorry, ", "I apologize. ", "Unfortunately, ", "As an assistant, ", "Thanks for asking, but "],
             ["I can't give a score to this text.", "I won't evaluate this document.", "I must refuse to rate the passage.", "it is not something I am able to judge.", "I prefer not to assess it.",
@@ -85,6 +97,19 @@ class Request:
         self.n_scores = 14 if tail.count("_/5") >= 2 else int(bool(re.search(r"_/5\s*$", tail)))
         self.domain = self.n_scores == 14 or bool(re.search(r"(?:Domain|领域)\s*[:：]\s*_\s*$", tail))
         self.content, self.text, self.asks = content, body[: len(body) - len(tail)].strip(), head + "\n" + tail
+        self._windows: dict[int, np.ndarray] = {}
+
+    def windows(self, n: int) -> np.ndarray:
+        """Sorted hashes of the runs of ``n`` letters or digits of the content."""
+        if n not in self._windows:
+            self._windows[n] = np.sort(_windows(plain(self.content), n))
+        return self._windows[n]
+
+    def turned(self) -> Request:
+        """A request of the other language that asks for the same, without a text."""
+        out = Request(None)
+        out.chinese, out.n_scores, out.domain = not self.chinese, self.n_scores, self.domain
+        return out
 
 
 def _domain(text: str) -> list[re.Match]:
@@ -148,9 +173,7 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Letters:
     """How likely the letters of a text are, in bits a letter, by counted n-grams."""
 
-    def __init__(self, texts: list[str]):
-        at, k = _grams("\n".join(texts))
-        counts = np.bincount(at[k > 0], minlength=1 << _BUCKETS)
+    def __init__(self, counts: np.ndarray):
         self.bits = -np.log2((counts + 0.05) / (counts.sum() + 0.05 * len(counts))).astype(np.float32)
 
 
@@ -184,36 +207,42 @@ def _fold(s: str) -> int:
 
 
 def _clause(c: str) -> tuple:
-    """What a clause shows by itself: (features, score, letter, words, letters and digits)."""
+    """What a clause shows by itself: (features, score, letter, words, number of letters and digits, these)."""
     score, letter, end = bool(_SCORE.search(c)), bool(_domain(c)), c.rstrip()
-    bare = len(plain(c))
+    letters = plain(c)
+    bare = len(letters)
     found = {"score": score, "letter": letter, "index": bool(_ITEM.search(c)), "colon": ":" in c or "：" in c, "stop": end[-1:] in ".!?。！？", "dots": end.endswith(("...", "…")), "short": bare < 8, "long": bare > 60}
-    return [_AT["bias"], *(_AT[k] for k, yes in found.items() if yes)], score, letter, [w.lower() for w in _WORD.findall(c)], max(1, bare)
+    return [_AT["bias"], *(_AT[k] for k, yes in found.items() if yes)], score, letter, [w.lower() for w in _WORD.findall(c)], max(1, bare), letters
+
+
+def _windows(text: str, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` code points of a text."""
+    a = _codes(text).astype(np.uint64)
+    if len(a) < n:
+        return np.zeros(0, np.uint64)
+    x, power = np.zeros(len(a) - n + 1, np.uint64), 1
+    for i in range(n):
+        x += a[i : len(a) - n + 1 + i] * np.uint64(power)
+        power = power * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return x
 
 
-def _covered(response: str, request: str, n: int) -> np.ndarray:
+def _covered(response: str, asked: Request, n: int) -> np.ndarray:
     """Whether each letter or digit of a plain response lies in a run of ``n`` that stands in the request too."""
-    a, b = _codes(response).astype(np.uint64), _codes(request).astype(np.uint64)
-    inside = np.zeros(len(a) + 1, np.int64)
-    if min(len(a), len(b)) >= n:
-        base = np.uint64(0x9E3779B97F4A7C15)
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]), dtype=np.uint64)
-        x, y = (np.zeros(len(s) - n + 1, np.uint64) for s in (a, b))
-        for i in range(n):
-            x += a[i : len(a) - n + 1 + i] * power[i]
-            y += b[i : len(b) - n + 1 + i] * power[i]
-        at = np.flatnonzero(np.isin(x, y))
+    inside, x, y = np.zeros(len(response) + 1, np.int64), _windows(response, n), asked.windows(n)
+    if len(x) and len(y):
+        at = np.flatnonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
         np.add.at(inside, at, 1)
         np.add.at(inside, at + n, -1)
     return np.cumsum(inside[:-1]) > 0
 
 
 class Reader:
-    """Turns a response into the features of its clauses. Built from the requests and answers of the sample."""
+    """Turns a response into the features of its clauses. Built from counts over all requests and answers."""
 
     def __init__(self, own: dict[bool, Letters], answers: dict[bool, Letters], words: frozenset[int]):
         self.words = words
-        self._own, self._like = (np.concatenate([x[False].bits, x[True].bits]) for x in (own, answers))
+        self._own, self._like = (np.round(1024 * np.concatenate([x[False].bits, x[True].bits])).astype(np.int64) for x in (own, answers))
         self._seen: dict[str, tuple] = {}
 
     def _part(self, c: str) -> tuple:
@@ -221,9 +250,9 @@ class Reader:
         if (known := self._seen.get(c)) is None:
             if len(self._seen) >= 50_000:
                 self._seen.clear()
-            static, score, named, words, size = _clause(c)
+            static, score, named, words, size, bare = _clause(c)
             latin = [w for w in words if len(w) > 1 and not _HAN.match(w)]
-            known = self._seen[c] = static, score, named, words, size, len(latin), sum(_fold(w) not in self.words for w in latin)
+            known = self._seen[c] = static, score, named, words, size, len(latin), sum(_fold(w) not in self.words for w in latin), bare
         return known
 
     def features(self, rows: list[tuple[str, Request, float]]) -> list[tuple[list[list[int]], list[int]]]:
@@ -249,14 +278,15 @@ class Reader:
         lengths[-1] -= 1
         where = grams + (np.repeat(chinese, lengths).astype(np.int64) << _BUCKETS)
         letter = script > 0
+        # Whole numbers, so that sums over a batch don't depend on the rows before.
         per = lambda x: (c := np.append(0, np.cumsum(x)))[at[:, 1]] - c[at[:, 0]]
         # Bins of Chinese requests are features of their own: pairs of characters are rarer than triples of letters.
         side = np.repeat(chinese, np.diff(first)) * _BINS
         bins = lambda name, x: (_BIN_AT[name] + side + np.minimum(np.maximum(x, 0), _BINS - 1).astype(np.int64)).tolist()
         n = per(letter)
         most = np.maximum(n, 1)
-        own = per(np.where(letter, self._own[where], 0)) / most - 6
-        like = per(np.where(letter, self._like[where], 0)) / most - 6
+        own = per(np.where(letter, self._own[where], 0)) / (1024 * most) - 6
+        like = per(np.where(letter, self._like[where], 0)) / (1024 * most) - 6
         odd = 13 * per(letter & (script != np.where(np.repeat(chinese, lengths), 2, 1))) / most
         words, unknown = (np.array([p[k] if p else 0 for p in parts]) for k in (6, 7))
         for k, end in enumerate(first[1:]):
@@ -273,11 +303,11 @@ class Reader:
             echo: list[float] = []
             if missing:
                 whole.append(w_like[end])
-                bare = [plain(p[0]) for p in parts[low:end]]
-                held = _covered("".join(bare), plain(asked.content), 8 if asked.chinese or _HAN.search(response) else 15)
-                begin = 0
+                bare = [p[8] for p in parts[low:end]]
+                held = _covered("".join(bare), asked, 8 if asked.chinese or _HAN.search(response) else 15)
+                sums, begin = np.append(0, np.cumsum(held)).tolist(), 0
                 for x in bare:
-                    echo.append(float(held[begin : begin + len(x)].mean()) if x else 0.0)
+                    echo.append((sums[begin + len(x)] - sums[begin]) / len(x) if x else 0.0)
                     begin += len(x)
                 if sum(e * s for e, s in zip(echo, sizes)) >= 0.75 * sum(sizes):
                     whole.append(_AT["much_echo"])
@@ -367,97 +397,171 @@ def _given_back(asked: Request, rng: np.random.Generator) -> str:
     return text.lower() if rng.random() < 0.2 else text
 
 
-def _training(rows: list[tuple[str, Request]], rng: np.random.Generator) -> tuple[Reader, list[tuple[list, list]]]:
-    """The reader, and (features, labels) of the made rows."""
-    parts = [given(r, q) for r, q in rows]
-    lines = {zh: [x for _, q in rows if q.chinese == zh for x in (q.asks + "\n" + q.text).split("\n") if bool(_HAN.search(x)) == zh] for zh in (False, True)}
-    own = {zh: Letters(lines[zh]) for zh in lines}
-    full = [(r, q) for (r, q), p in zip(rows, parts) if p >= 1]
-
-    def bits(r: str, q: Request) -> float:
-        grams, script = _grams(r)
-        return float(own[q.chinese].bits[grams][script > 0].mean()) if (script > 0).any() else 0.0
-
-    kept, kinds = [], {}
-    for i, (r, q) in enumerate(full):
-        kinds.setdefault((q.chinese, q.n_scores, q.domain), []).append((bits(r, q), i))
-    for side in kinds.values():
-        side.sort()
-        kept += [full[i] for _, i in side[: len(side) - int(-(-len(side) * TRIMMED // 1))]]
-    words = {_fold(w.lower()) for x in lines[False] for w in _WORD.findall(x)} | {_fold(w.lower()) for r, q in kept if not q.chinese for w in _WORD.findall(r)}
-    reader = Reader(own, {zh: Letters([r for r, q in kept if q.chinese == zh]) for zh in (False, True)}, frozenset(words))
-    out: list[tuple[list, list]] = []
-
-    def add(response: str, asked: Request, label) -> None:
-        if (response := prepared(response)) is None:
-            return
-        x, _ = reader.features([(response, asked, given(response, asked))])[0]
-        y = label(response, x) if callable(label) else [label] * len(x)
-        for k in range(0, len(x), PIECE_CLAUSES):
-            out.append((x[k : k + PIECE_CLAUSES], y[k : k + PIECE_CLAUSES]))
-
-    if not kept:
-        return reader, out
-    order = rng.permutation(len(kept))
-    some = [kept[i] for i in order[:KIND_ROWS]]
-    sides = {zh: [x for x in some if x[1].chinese == zh] for zh in (False, True)}
-    for r, q in some:
-        add(r, q, ANSWER)
-        # The same answer with the text quoted before it is an answer still.
+Rows = list[tuple[str, Request]]
+
+
+def _kind(q: Request) -> int:
+    return 4 * q.n_scores + 2 * q.domain + q.chinese
+
+
+class Counts:
+    """Numbers by key, summed over rows: n-grams of both languages below ``WORD``, rows that hold a word from there on."""
+
+    WORD = 1 << (_BUCKETS + 1)
+
+    def __init__(self):
+        self._grams, self._words = np.zeros(self.WORD, np.int64), Counter()
+
+    def add(self, texts: dict[bool, list[str]], words: list[set[str]]) -> None:
+        for zh, some in texts.items():
+            at, k = _grams("\n".join(some))
+            self._grams[int(zh) << _BUCKETS :][: 1 << _BUCKETS] += np.bincount(at[k > 0], minlength=1 << _BUCKETS)
+        for w in words:
+            self._words.update(w)
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, numbers) counted since the last call."""
+        at, words = np.flatnonzero(self._grams), self._words
+        out = np.append(at, np.array([self.WORD + _fold(w) for w in words], np.int64)), np.append(self._grams[at], np.array(list(words.values()), np.int64))
+        self.__init__()
+        return out
+
+    @property
+    def large(self) -> bool:
+        return len(self._words) > 500_000
+
+
+def _words_of(texts: list[str]) -> set[str]:
+    return {w.lower() for x in texts for w in _WORD.findall(x)}
+
+
+def count_requests(rows: Rows, into: Counts) -> None:
+    """Lines of the requests that are in the language of the instructions."""
+    lines = [[x for x in (q.asks + "\n" + q.text).split("\n") if bool(_HAN.search(x)) == q.chinese] for _, q in rows]
+    into.add({zh: [x for some, (_, q) in zip(lines, rows) if q.chinese == zh for x in some] for zh in (False, True)}, [_words_of(some) for some, (_, q) in zip(lines, rows) if not q.chinese])
+
+
+class Judge:
+    """Which answers are learned as such: complete ones whose letters are not among the least likely."""
+
+    def __init__(self, own: dict[bool, Letters]):
+        self.own, self.most = own, {}
+
+    def bits(self, rows: Rows) -> list[int]:
+        """Of each row its bits a letter in thousandths; -1 where the answer isn't complete."""
+        out = []
+        for r, q in rows:
+            grams, script = _grams(r) if given(r, q) >= 1 else (None, None)
+            out.append(-1 if grams is None else round(1000 * float(self.own[q.chinese].bits[grams][script > 0].mean())) if (script > 0).any() else 0)
+        return out
+
+    def count(self, rows: Rows) -> Counter:
+        return Counter((_kind(q) << 20) + x for x, (_, q) in zip(self.bits(rows), rows) if x >= 0)
+
+    def trim(self, counts: dict[int, int]) -> Judge:
+        """Sets the bits up to which answers are kept, from the numbers of all rows."""
+        for kind in {k >> 20 for k in counts}:
+            side = sorted((k & 0xFFFFF, n) for k, n in counts.items() if k >> 20 == kind)
+            left = (n := sum(n for _, n in side)) - int(-(-n * TRIMMED // 1))
+            for x, n in side:
+                if left > 0:
+                    self.most[kind] = x
+                left -= n
+        return self
+
+    def kept(self, rows: Rows) -> list[bool]:
+        return [0 <= x <= self.most.get(_kind(q), -1) for x, (_, q) in zip(self.bits(rows), rows)]
+
+
+def count_answers(rows: Rows, judge: Judge, into: Counts) -> None:
+    kept = [row for row, yes in zip(rows, judge.kept(rows)) if yes]
+    into.add({zh: [r for r, q in kept if q.chinese == zh] for zh in (False, True)}, [_words_of([r]) for r, q in kept if not q.chinese])
+
+
+def _letters_of(keys: np.ndarray, n: np.ndarray) -> dict[bool, Letters]:
+    every = np.zeros(Counts.WORD, np.int64)
+    grams = keys < Counts.WORD
+    every[keys[grams]] = n[grams]
+    return {zh: Letters(every[int(zh) << _BUCKETS :][: 1 << _BUCKETS]) for zh in (False, True)}
+
+
+@lru_cache(maxsize=1)
+def _cues() -> frozenset[int]:
+    """Features of the words by which the written refusals are told."""
+    said = [" ".join(SEEDS.findall(s)) for side in DECLINES.values() for group in side for s in group]
+    return frozenset(f for s in said for f in _word_features([w.lower() for w in _WORD.findall(s)]))
+
+
+def _cut_labels(x: list, _: np.random.Generator) -> list[int]:
+    return [ANSWER] * (len(x) - 1) + [UNFINISHED]
+
+
+def _refusal_labels(x: list, rng: np.random.Generator) -> list[int]:
+    y = [ANSWER if _AT["letter"] in f else ECHO if _AT["echo_2"] in f or _AT["echo_3"] in f else REFUSAL for f in x]
+    if rng.random() < 0.5:  # the same without the words that labelled it, and without some others
+        x[:] = [[f for f in s if f < _WORD_AT or (f not in _cues() and rng.random() < 0.5)] for s in x]
+    return y
+
+
+def _made(r: str, q: Request, kept: bool, rng: np.random.Generator) -> Iterator[tuple[str, Request, int | Callable]]:
+    """(response, request, label or labelling) of the rows made from one row: its answer and every defect it can show."""
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    title = r.split("\n", 1)[0] if kept else ""
+    if kept:
+        yield r, q, ANSWER
+        # The same answer with a quotation before it is an answer still.
         if q.text and rng.random() < 0.3:
-            add(f'"{q.text[: int(rng.integers(20, 400))]}"\n{r}', q, ANSWER)
-        if sides[not q.chinese] and rng.random() < 0.1:
-            foreign = sides[not q.chinese][int(rng.integers(len(sides[not q.chinese])))][1].text
-            add(f'"{foreign[: int(rng.integers(20, 80))]}"\n{r}', q, ANSWER)
+            yield f'"{q.text[: int(rng.integers(20, 400))]}"\n{r}', q, ANSWER
+        if rng.random() < 0.1:
+            yield f'"{" ".join(pick(list(DOMAINS.values()))[not q.chinese] for _ in range(int(rng.integers(3, 9))))}"\n{r}', q, ANSWER
         # What breaks off after all was given leaves an answer.
         if rng.random() < 0.2:
-            more = str(rng.choice(q.asks.split("\n")) if rng.random() < 0.5 else some[int(rng.integers(len(some)))][0])
-            add(r + "\n" + more[: int(rng.integers(5, 40))].rstrip() + str(rng.choice(["", "…", "..."])), q, ANSWER)
+            more = pick(q.asks.split("\n")) if rng.random() < 0.5 else r
+            yield r + "\n" + more[: int(rng.integers(5, 40))].rstrip() + pick(["", "…", "..."]), q, ANSWER
         if rng.random() < 0.1:
-            add("\n".join([str(rng.choice(DECLINES[q.chinese][1])), r]), q, ANSWER)
-    # Short answers are cut at several places, as so little of them is left.
-    for r, q in [kept[i] for i in order[-3 * KIND_ROWS // 2 :] for _ in range(4 if len(kept[i][0]) < 60 else 1)]:
+            yield pick(DECLINES[q.chinese][1]) + "\n" + r, q, ANSWER
+        # Short answers are cut at several places, as so little of them is left.
         stops = [m.start() for m in re.finditer(r"\n|(?<=[.。|])", r[:-1])]
-        at = int(rng.choice(stops)) if stops and rng.random() < 0.3 else stops[-1] if stops and rng.random() < 0.1 else int(rng.integers(1, max(2, len(r))))
-        cut = r[:at].rstrip() + ("…" if rng.random() < 0.1 else "")
-        if given(cut, q) < 1:
-            add(cut, q, lambda _, x: [ANSWER] * (len(x) - 1) + [UNFINISHED])
-    for i in rng.permutation(len(rows))[:KIND_ROWS]:
-        back = _given_back(rows[i][1], rng)
-        lead = str(rng.choice(["", "", "Text: ", "Here is the text:\n\n", "文本：", "以下是原文：\n"]))
-        if given(back, rows[i][1]) == 0:
-            add(lead + back, rows[i][1], ECHO)
-    for n, (r, q) in enumerate(some):
-        other = sides[not q.chinese]
-        if other and n % 2:
-            # Put under a request of the other language that asks for the same.
-            fit_ = [a for a, o in other if (o.n_scores, o.domain) == (q.n_scores, q.domain)]
-            if fit_:
-                add(fit_[int(rng.integers(len(fit_)))], q, FOREIGN)
-        else:
-            latin = r if not q.chinese else next((a for a, o in sides[False] if o.n_scores == q.n_scores), "")
-            for _ in range(0 if not latin else 3 if len(latin) < 60 else 1):
-                add(_exchanged(latin, rng), q, FOREIGN)
-    declined = [(r, q) for (r, q), p in zip(rows, parts) if p < 0.2 and SEEDS.search(r) and not _SCORE.search(r)]
-    made = [(str(rng.choice(DECLINES[q.chinese][0])) + str(rng.choice(DECLINES[q.chinese][1])), q) for _, q in (rows[i] for i in rng.permutation(len(rows))[: KIND_ROWS // 2])]
-    cues = {f for side in DECLINES.values() for group in side for s in group if SEEDS.search(s) for f in _word_features([w.lower() for w in _WORD.findall(" ".join(SEEDS.findall(s)))])}
-    titles = {zh: [x for r, q in some if q.chinese == zh for x in r.split("\n")[:1] if _domain(x)] for zh in (False, True)}
-    for r, q in [*declined, *made] * 2:
-        if titles[q.chinese] and not _domain(r) and rng.random() < 0.3:
-            r = str(rng.choice(titles[q.chinese])) + "\n" + r
+        for _ in range(4 if len(r) < 60 else 1):
+            at = pick(stops) if stops and rng.random() < 0.3 else stops[-1] if stops and rng.random() < 0.1 else int(rng.integers(1, max(2, len(r))))
+            cut = r[:at].rstrip() + ("…" if rng.random() < 0.1 else "")
+            if given(cut, q) < 1:
+                yield cut, q, _cut_labels
+        # Under a request of the other language, or with letters exchanged.
+        if rng.random() < 0.5:
+            yield r, q.turned(), FOREIGN
+        elif not q.chinese:
+            for _ in range(3 if len(r) < 60 else 1):
+                yield _exchanged(r, rng), q if rng.random() < 0.6 else q.turned(), FOREIGN
+    back = _given_back(q, rng)
+    if given(back, q) == 0:
+        yield pick(["", "", "Text: ", "Here is the text:\n\n", "文本：", "以下是原文：\n"]) + back, q, ECHO
+    said = [pick(DECLINES[q.chinese][0]) + pick(DECLINES[q.chinese][1])] if rng.random() < 0.5 else []
+    if SEEDS.search(r) and not _SCORE.search(r) and given(r, q) < 0.2:
+        said.append(r)
+    for x in said * 2:
+        if not _domain(x) and rng.random() < 0.3:
+            letter = pick(list(DOMAINS))
+            x = (title if _domain(title) else f"{'领域类型：' if q.chinese else 'Domain Type: '}[{letter}]{DOMAINS[letter][q.chinese]}") + "\n" + x
         if q.text and rng.random() < 0.3:
-            r += str(rng.choice(["\n", " "])) + str(rng.choice(["(", "（", '"', "Text: "])) + q.text[: int(rng.integers(15, 80))] + str(rng.choice([")", "）", '"', ""]))
-
-        def label(_, x):
-            named = [_AT["letter"] in f for f in x]
-            back = [any(_AT[k] in f for k in ("echo_2", "echo_3")) for f in x]
-            return [ANSWER if a else ECHO if b else REFUSAL for a, b in zip(named, back)]
-
-        add(r, q, label)
-        if rng.random() < 0.5:  # the same without the words that labelled it, and without some others
-            x, y = out[-1]
-            out[-1] = [[f for f in s if f < _WORD_AT or (f not in cues and rng.random() < 0.5)] for s in x], y
-    return reader, out
+            x += pick(["\n", " "]) + pick(["(", "（", '"', "Text: "]) + q.text[: int(rng.integers(15, 80))] + pick([")", "）", '"', ""])
+        yield x, q, _refusal_labels
+
+
+def training(rows: Rows, judge: Judge, reader: Reader, seed: int = 5) -> Iterator[tuple[list, list]]:
+    """(features, labels) of the rows made from each row. They depend on the row alone, not on its neighbours."""
+    todo: list = []
+    for (r, q), kept in zip(rows, judge.kept(rows)):
+        rng = np.random.Generator(np.random.PCG64([seed, crc32(r.encode("utf-8", "surrogatepass")), crc32(q.content.encode("utf-8", "surrogatepass"))]))
+        for response, asked, label in _made(r, q, kept, rng):
+            if (response := prepared(response)) is not None:
+                todo.append((response, asked, label, rng))
+    for first in range(0, len(todo), 500):
+        some = todo[first : first + 500]
+        for (x, _), (*_, label, rng) in zip(reader.features([(r, q, given(r, q)) for r, q, *_ in some]), some):
+            y = label(x, rng) if callable(label) else [label] * len(x)
+            for k in range(0, len(x), PIECE_CLAUSES):
+                yield x[k : k + PIECE_CLAUSES], y[k : k + PIECE_CLAUSES]
 
 
 class Field:
@@ -482,12 +586,28 @@ class Field:
         return out
 
 
+def _ready(rows: Iterable[tuple[str | None, str | None]]) -> Rows:
+    return [(r, Request(c)) for response, c in rows if (r := prepared(response)) is not None]
+
+
+def _reader(own: dict[bool, Letters], requests: tuple[np.ndarray, np.ndarray], answers: tuple[np.ndarray, np.ndarray], n_rows: int) -> Reader:
+    least = max(1, -(-n_rows // KNOWN_ROWS))
+    words = [k[(k >= Counts.WORD) & (n >= least)] - Counts.WORD for k, n in (requests, answers)]
+    return Reader(own, _letters_of(*answers), frozenset(np.concatenate(words).tolist()))
+
+
 def fit_rows(rows: list[tuple[str | None, str | None]], seed: int = 5) -> Field:
-    """A field fitted on (response, request) rows; the same rows give the same field."""
-    ready = [(r, Request(c)) for response, c in rows if (r := prepared(response)) is not None]
-    reader, made = _training(ready, np.random.default_rng(seed))
+    """A field fitted on (response, request) rows in memory, as ``fit`` does it on a table."""
+    ready, counts = _ready(rows), Counts()
+    count_requests(ready, counts)
+    requests = counts.flush()
+    judge = Judge(_letters_of(*requests))
+    judge.trim(judge.count(ready))
+    count_answers(ready, judge, counts)
+    reader = _reader(judge.own, requests, counts.flush(), len(rows))
+    made = list(training(ready, judge, reader, seed)) if judge.most else []
     reader._seen.clear()
-    return Field(reader, Crf(N_FEATURES, len(LABELS)).fit([x for x, _ in made], [y for _, y in made], steps=60))
+    return Field(reader, Crf(N_FEATURES, len(LABELS)).fit([x for x, _ in made], [y for _, y in made], FIT_STEPS))
 
 
 def user_content(request: Column) -> Column:
@@ -495,14 +615,116 @@ def user_content(request: Column) -> Column:
     return F.try_element_at(F.filter(request["messages"], lambda m: m["role"] == "user"), F.lit(-1))["content"]
 
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    for b in batches:
+        for first in range(0, b.num_rows, 1000):
+            yield _ready(zip(*(b.column(c)[first : first + 1000].to_pylist() for c in ("gpt_response", "content"))))
+
+
+def _sums(rows: DataFrame, count: Callable[[Iterator[Rows]], Iterator[tuple]], least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers) that ``count`` gives for parts of the rows, summed; words of fewer than ``least`` rows left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in count(_batches(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    found = rows.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where((F.col("key") < Counts.WORD) | (F.col("n") >= least)).toArrow()
+    return tuple(found.column(c).to_numpy() for c in ("key", "n"))
+
+
+def _counted(add: Callable[[Rows, Counts], None]) -> Callable[[Iterator[Rows]], Iterator[tuple]]:
+    def count(parts: Iterator[Rows]) -> Iterator[tuple]:
+        counts = Counts()
+        for rows in parts:
+            add(rows, counts)
+            if counts.large:
+                yield counts.flush()
+        yield counts.flush()
+
+    return count
+
+
+def _packed(x: list, y: list) -> bytes:
+    return np.array([len(x), *map(len, x), *y, *chain.from_iterable(x)], "<u2").tobytes()
+
+
+def _unpacked(key: bytes) -> tuple[list, list]:
+    v = np.frombuffer(key, "<u2").tolist()
+    n, x, at = v[0], [], 1 + 2 * v[0]
+    for size in v[1 : 1 + n]:
+        x.append(v[at : at + size])
+        at += size
+    return x, v[1 + n : 1 + 2 * n]
+
+
+def _chunks(rows: DataFrame, judge: Judge, reader: Reader) -> DataFrame:
+    """The rows made from all rows, as a table of pickled chunks; equal sequences are one."""
+    shared = rows.sparkSession.sparkContext.broadcast((judge, reader))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _batches(batches):
+            keys = [_packed(x, y) for x, y in training(part, *shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(keys: list[bytes], times: list[int]) -> pa.RecordBatch:
+            c = chunk(*zip(*map(_unpacked, keys)), [weight(n) for n in times])
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(c))], pa.binary())], names=["chunk"])
+
+        keys, times = [], []
+        for b in batches:
+            keys += b.column("key").to_pylist()
+            times += b.column("n").to_pylist()
+            while len(keys) >= CHUNK:
+                yield whole(keys[:CHUNK], times[:CHUNK])
+                del keys[:CHUNK], times[:CHUNK]
+        if keys:
+            yield whole(keys, times)
+
+    each = rows.mapInArrow(make, "key binary").groupBy("key").agg(F.count("*").alias("n"))
+    return checkpointed(each.sortWithinPartitions("key").mapInArrow(pack, "chunk binary"))
+
+
+def _slope(chunks: DataFrame) -> Callable[[Crf], np.ndarray]:
+    def slope(crf: Crf) -> np.ndarray:
+        shared = chunks.sparkSession.sparkContext.broadcast(crf)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = 0.0
+            for b in batches:
+                for c in b.column("chunk").to_pylist():
+                    found = found + shared.value.slope(Chunk(*pickle.loads(c)))
+            if np.ndim(found):
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["slope"])
+
+        found = chunks.mapInArrow(run, "slope binary").collect()
+        shared.destroy()
+        return np.sum([np.frombuffer(r.slope) for r in found], axis=0) if found else np.zeros(1)
+
+    return slope
+
+
 def fit(responses: DataFrame) -> Field:
-    """A field fitted on at most ``TRAINING_ROWS`` successful rows, chosen by a hash of their id."""
-    rows = responses.where("status = 'success' and gpt_response is not null")
-    every = max(1, -(-rows.count() // (TRAINING_ROWS * 9 // 10)))
-    chosen = rows.where(F.pmod(F.xxhash64("request_id"), F.lit(every)) == 0).select("request_id", "gpt_response", user_content(F.col("request_json")).alias("content"))
-    size = F.length("gpt_response") + F.coalesce(F.length("content"), F.lit(0))
-    some = chosen.where(size <= TRAINING_CHARS).limit(TRAINING_ROWS).collect()
-    return fit_rows([(r.gpt_response, r.content) for r in sorted(some, key=lambda r: (r.request_id is None, r.request_id, r.gpt_response))])
+    """A field fitted on all successful rows; the same rows give the same field, but for the rounding of sums.
+
+    Reads the rows four times: n-grams and words of the requests, the letters of each
+    complete answer, n-grams and words of the answers kept, and the rows made. Every
+    step of the fit is one job over the chunks of these.
+    """
+    rows = responses.where("status = 'success' and gpt_response is not null").select("gpt_response", user_content(F.col("request_json")).alias("content"))
+    n_rows = rows.count()
+    least = max(1, -(-n_rows // KNOWN_ROWS))
+    requests = _sums(rows, _counted(count_requests), least)
+    judge = Judge(_letters_of(*requests))
+
+    def letters(parts: Iterator[Rows]) -> Iterator[tuple]:
+        for counts in map(judge.count, parts):
+            yield list(counts), list(counts.values())
+
+    judge.trim(dict(zip(*(x.tolist() for x in _sums(rows, letters)))))
+    reader = _reader(judge.own, requests, _sums(rows, _counted(lambda part, into: count_answers(part, judge, into)), least), n_rows)
+    crf = Crf(N_FEATURES, len(LABELS))
+    return Field(reader, crf.climb(_slope(_chunks(rows, judge, reader)), FIT_STEPS) if judge.most else crf)
 
 
 def _judged(responses: DataFrame, field: Field, schema: str, shape) -> DataFrame:

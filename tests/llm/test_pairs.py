@@ -209,3 +209,31 @@ def test_viterbi_equals_enumeration():
         e = np.array([crf.w[s].sum(0) for s in r])
         value = lambda p: crf.s[p[0]] + sum(e[i, a] for i, a in enumerate(p)) + sum(crf.t[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
         assert value(tags) == pytest.approx(max(value(p) for p in product(range(3), repeat=len(r))))
+
+
+def test_every_row_is_fitted(spark):
+    """A table of more rows than a sample would hold, one of them very long: the same field as from all of its rows in memory."""
+    short = [(a, q) for q, a in made_rows(200, seed=8) if len(a) + len(q) < 600]
+    rows = [short[i % len(short)] for i in range(4000)] + [(FULL, ALL.replace(TEXT, "Quizzical zephyrs vex. " * 1200))]
+    kept = pairs.fit_rows(rows)
+    table = frame(spark, [(q, a) for a, q in rows]).repartition(3)
+    fitted = pairs.fit(table)
+    for name in ("_own", "_like", "words"):
+        assert np.array_equal(*(np.array(sorted(x) if isinstance(x, frozenset) else x) for x in (getattr(f.reader, name) for f in (fitted, kept))))
+    assert np.abs(fitted.crf.w - kept.crf.w).max() < 1e-3 and np.abs(fitted.crf.t - kept.crf.t).max() < 1e-3
+    assert {pairs._fold(w) for w in ("quizzical", "zephyrs", "vex")} <= pairs.fit_rows(rows[-80:]).reader.words
+
+
+def test_made_rows_depend_on_their_row_alone():
+    rows = pairs._ready([(a, q) for q, a in made_rows(80, seed=6)])
+    counts = pairs.Counts()
+    pairs.count_requests(rows, counts)
+    requests = counts.flush()
+    judge = pairs.Judge(pairs._letters_of(*requests))
+    judge.trim(judge.count(rows))
+    pairs.count_answers(rows, judge, counts)
+    reader = pairs._reader(judge.own, requests, counts.flush(), len(rows))
+    whole = [pairs._packed(x, y) for x, y in pairs.training(rows, judge, reader)]
+    assert whole == [pairs._packed(x, y) for r in rows for x, y in pairs.training([r], judge, reader)]
+    assert all(pairs._packed(*pairs._unpacked(k)) == k for k in whole)
+    assert {y for k in whole for y in pairs._unpacked(k)[1]} == set(range(5))
