@@ -22,29 +22,58 @@ def _flat(rows: list[Sequence_]) -> tuple[np.ndarray, np.ndarray]:
     return at, np.cumsum(sizes) - sizes
 
 
+class Part(NamedTuple):
+    """What steps have of one group of features, equal ones once."""
+
+    at: np.ndarray  # features of all distinct ones, one after another
+    start: np.ndarray  # where each begins
+    number: np.ndarray  # of each distinct step; one beyond the last for none
+
+
 class Chunk(NamedTuple):
     """Labelled sequences, longest first, with their steps position by position; equal steps have one number."""
 
-    at: np.ndarray  # features of all distinct steps, one after another
-    start: np.ndarray  # where each distinct step begins
+    parts: list[Part]
     steps: np.ndarray  # number of the distinct step at each place
     labels: np.ndarray
     weights: np.ndarray  # of each sequence
     active: np.ndarray  # sequences that have a first, second, ... step
 
 
-def chunk(rows: list[Sequence_], labels: list[list[int]], weights: list[float]) -> Chunk:
-    """``rows``, none of them empty, as a chunk."""
-    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-    number: dict[tuple, int] = {}
-    steps, said, active = [], [], []
-    for position in range(len(rows[order[0]])):
-        here = [i for i in order[: active[-1] if active else len(order)] if len(rows[i]) > position]
-        active.append(len(here))
-        steps += [number.setdefault(tuple(rows[i][position]), len(number)) for i in here]
-        said += [labels[i][position] for i in here]
-    at, start = _flat([list(number)])
-    return Chunk(at.astype(np.uint16 if at.max() < 1 << 16 else np.int64), start, np.array(steps, np.int32), np.array(said, np.int8), np.array([weights[i] for i in order], np.float64), np.array(active))
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.int32)
+
+
+def chunk(rows: list[Sequence_], labels: list[list[int]], weights: list[float], groups: np.ndarray | None = None) -> Chunk:
+    """``rows``, none of them empty, as a chunk; ``groups`` as in ``flat_chunk``."""
+    at, start = _flat(rows)
+    return flat_chunk(np.array([len(r) for r in rows]), np.diff(np.append(start, len(at))), np.concatenate(labels), at, np.array(weights, np.float64), groups)
+
+
+def flat_chunk(lengths: np.ndarray, sizes: np.ndarray, labels: np.ndarray, at: np.ndarray, weights: np.ndarray, groups: np.ndarray | None = None) -> Chunk:
+    """Sequences one after another as a chunk: steps and weight of each, features and label of each step, the features.
+
+    What is equal of the features of a group (``groups`` by feature) is summed once for all steps that have it.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    position = np.arange(len(sizes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    places = np.lexsort((np.repeat(rank, lengths), position))
+    at, step = at.astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+    group = groups[at] if groups is not None else np.zeros(len(at), np.int8)
+    parts, numbers, both = [], [], np.zeros(len(sizes), np.int64)
+    for g in range(int(group.max()) + 1):
+        here = group == g
+        data, number = at[here].tobytes(), {}
+        ends = (4 * np.cumsum(np.bincount(step[here], minlength=len(sizes)))).tolist()
+        found = [number.setdefault(data[a:b], len(number)) if a < b else -1 for a, b in zip([0, *ends], ends)]
+        begin = np.cumsum([0, *map(len, number)])[:-1] // 4
+        parts.append((_small(np.frombuffer(b"".join(number), np.int32)), begin.astype(np.int32)))
+        numbers.append(np.array(found) % (len(number) + 1))
+        _, both = np.unique(both * (len(number) + 1) + numbers[-1], return_inverse=True)
+    _, first = np.unique(both, return_index=True)
+    return Chunk([Part(*p, _small(n[first])) for p, n in zip(parts, numbers)], both[places].astype(np.int32), labels[places].astype(np.int8), weights[order], np.bincount(position))
 
 
 def weight(times: int) -> float:
@@ -74,36 +103,45 @@ class Crf:
     def slope(self, c: Chunk) -> np.ndarray:
         """What a chunk adds to the gradient of the likelihood, for features, pairs and first labels, and the sum of its weights."""
         n_features, k = self.w.shape
-        at = c.at.astype(np.int64)
-        e = np.stack([np.add.reduceat(w[at], c.start) for w in np.ascontiguousarray(self.w.T)], 1)
-        e, pair = np.exp(e - e.max(1, keepdims=True)), np.exp(self.t - self.t.max())
+        # Labels are rows here, places columns. Only what the first label differs by matters, and slopes sum to 0 over the labels.
+        w, steps = np.ascontiguousarray(self.w.T), c.steps.astype(np.int64)
+        w, n_steps = w[1:] - w[0], len(c.parts[0].number)
+        e, parts = np.zeros((k, n_steps)), [Part(p.at.astype(np.int64), p.start, p.number.astype(np.int64)) for p in c.parts]
+        for at, start, number in parts:
+            for x, mine in zip(e[1:], w):
+                x += np.append(np.add.reduceat(mine[at], start) if len(at) else (), 0.0)[number]
+        e, pair = np.exp(e - e.max(0)), np.exp(self.t - self.t.max())
         end = np.cumsum(c.active)
-        here = [e[c.steps[z - m : z]] for z, m in zip(end, c.active)]
+        here = [e.take(steps[z - m : z], 1) for z, m in zip(end, c.active)]
         # Forward and backward sums are scaled to 1 at each step, which the shares below don't see.
-        a = [here[0] * np.exp(self.s - self.s.max())]
-        a[0] /= a[0].sum(1, keepdims=True)
+        a = [here[0] * np.exp(self.s - self.s.max())[:, None]]
+        a[0] /= a[0].sum(0)
         for x, m in zip(here[1:], c.active[1:]):
-            a.append((a[-1][:m] @ pair) * x)
-            a[-1] /= a[-1].sum(1, keepdims=True)
-        left, both, b = np.empty((len(c.steps), k)), np.zeros((k, k)), np.ones_like(a[-1])
+            a.append((pair.T @ a[-1][:, :m]) * x)
+            a[-1] /= a[-1].sum(0)
+        left, both, b = np.empty((k, len(c.steps))), np.zeros((k, k)), np.ones_like(a[-1])
         for i in range(len(a) - 1, -1, -1):
             m, z = c.active[i], end[i]
             p = a[i] * b
-            p *= (c.weights[:m] / p.sum(1))[:, None]
+            p *= c.weights[:m] / p.sum(0)
             y = c.labels[z - m : z]
-            left[z - m : z] = -p
-            left[np.arange(z - m, z), y] += c.weights[:m]
+            np.negative(p, out=left[:, z - m : z])
+            left[y, np.arange(z - m, z)] += c.weights[:m]
             if i:
-                v, before = here[i] * b, a[i - 1][:m]
-                both -= pair * (before.T @ (v * (c.weights[:m] / ((before @ pair) * v).sum(1))[:, None]))
+                v, before = here[i] * b, a[i - 1][:, :m]
+                both -= pair * (before @ (v * (c.weights[:m] / ((pair.T @ before) * v).sum(0))).T)
                 y0 = c.labels[z - m - c.active[i - 1] :][:m].astype(np.int64)
                 both += np.bincount(y0 * k + y, c.weights[:m], k * k).reshape(k, k)
                 b = np.ones_like(a[i - 1])
-                b[:m] = v @ pair.T
-                b[:m] /= b[:m].max(1, keepdims=True)
-        sizes = np.diff(np.append(c.start, len(at)))
-        w = np.stack([np.bincount(at, np.repeat(np.bincount(c.steps, x, len(c.start)), sizes), n_features) for x in np.ascontiguousarray(left.T)], 1)
-        return np.concatenate([w.ravel(), both.ravel(), left[: c.active[0]].sum(0), [c.weights.sum()]])
+                back = pair @ v
+                b[:, :m] = back / back.max(0)
+        slopes, w = [np.bincount(steps, x, n_steps) for x in left[1:]], np.zeros((k, n_features))
+        for at, start, number in parts:
+            owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+            for sums, x in zip(w[1:], slopes):
+                sums += np.bincount(at, np.bincount(number, x, len(start) + 1)[owner], n_features)
+        w[0] = -w[1:].sum(0)
+        return np.concatenate([w.T.ravel(), both.ravel(), left[:, : c.active[0]].sum(1), [c.weights.sum()]])
 
     def climb(self, slope: Callable[[Crf], np.ndarray], steps: int, rate: float = 0.3, decay: float = 1e-4) -> Crf:
         """Maximum likelihood by full gradients with adaptive steps; ``slope`` sums those of all chunks under the weights it is given.

@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import pickle
 import re
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, compress
 from zlib import crc32
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from siftloom.functions.labels import DOMAINS
 from siftloom.session import checkpointed
 
-from .crf import Chunk, Crf, chunk, weight
+from .crf import Chunk, Crf, Part, flat_chunk, weight
 
 #: Responses of more clauses are fitted in pieces of so many.
 PIECE_CLAUSES = 20
@@ -66,7 +67,7 @@ DECLINES = {
            ["我不能给这篇文本打分。", "我无法评价这份内容。", "恕我不能完成评分。", "这个请求超出了我的能力。", "我不便作出判断。", "请另找专业人员评估。", "这违反了我遵守的规则。"]),
 }
 _SCORE = re.compile(r"(?<![\d.])\d(?:\.\d+)?\s*/\s*5(?!\d)|\bN/A\b|不适用", re.I)
-_ITEM = re.compile(r"(?:\[\s*(\d{1,2})\s*\]|(?:^|\n)\W*(\d{1,2})\s*[.)、．])[^\n]*?((?<![\d.])\d(?:\.\d+)?\s*/\s*5(?!\d)|\bN/A\b|不适用)", re.I)
+_ITEM = re.compile(r"(?:\[\s*(\d{1,2})\s*\]|\n\W*(\d{1,2})\s*[.)、．])[^\n]*?((?<![\d.])\d(?:\.\d+)?\s*/\s*5(?!\d)|\bN/A\b|不适用)", re.I)
 _LETTER = re.compile(r"[:：]\W*(?:\[\s*([A-O])\s*\]|([A-O])(?=[ \t]*(?:$|\n|[)*|.,，。(（-])))\s*([^\n|*]*)")
 _BRACKETED = re.compile(r"\[[A-O]\]")
 _CLAUSE = re.compile(r"[^\n.!?。！？；;]*(?:[.](?=\d)[^\n.!?。！？；;]*)*[\n.!?。！？；;]*")
@@ -78,11 +79,26 @@ _FULL = {ord(a): b for a, b in zip("／０１２３４５６７８９", "/012345
 _NAMES = {k: tuple(n.lower() for n in both) for k, both in DOMAINS.items()}
 
 
+_ASCII = bytes(range(128))
+_ASCII_MARKS = bytes(c for c in _ASCII if not chr(c).isalnum())
+_ASCII_LOWER = bytes.maketrans(_ASCII, _ASCII.lower())
+_ASCII_WORDS = bytes.maketrans(_ASCII, bytes(c if chr(c).isalpha() else 32 for c in _ASCII.lower()))
+
+
 def plain(text: str) -> str:
     """Lower case, letters and digits only."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_LOWER, _ASCII_MARKS).decode()
     return _MARKS.sub("", text).lower()
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    if text.isascii():
+        return text.encode().translate(_ASCII_WORDS).decode().split()
+    return [w.lower() for w in _WORD.findall(text)]
+
+
 class Request:
     """What a request asks for, the language of its instructions, its text and its whole content."""
 
@@ -122,17 +138,28 @@ def _domain(text: str) -> list[re.Match]:
     return found
 
 
+def _may_score(text: str) -> bool:
+    """False only where neither ``_SCORE`` nor ``_ITEM`` can match. ``_ITEM`` is for texts with a line feed put before them."""
+    return "/" in text or "不适用" in text
+
+
 def given(response: str, asked: Request) -> float:
     """Part of the ratings asked for that are given: 1 if all are, 0 if none."""
-    n = {int(m[1] or m[2]) for m in _ITEM.finditer(response)} & set(range(1, 15))
-    end, domain = len(response.rstrip()), 0
-    for m in _domain(response) if asked.domain else ():
+    return _given(response, asked.n_scores, asked.domain)
+
+
+@lru_cache(maxsize=5000)
+def _given(response: str, n_scores: int, asks_domain: bool) -> float:
+    scores = domain = 0
+    if n_scores and _may_score(response):
+        scores = len({int(m[1] or m[2]) for m in _ITEM.finditer("\n" + response)} & set(range(1, 15))) if n_scores == 14 else int(bool(_SCORE.search(response)))
+    end = len(response.rstrip())
+    for m in _domain(response) if asks_domain else ():
         name = m[3].strip(" ]）)。.\"'`*").lower()
         # A name that breaks off inside is not given.
         if not (name and m.end() >= end and any(x.startswith(name) and x != name for x in _NAMES[m[1] or m[2]])):
             domain = 1
-    scores = len(n) if asked.n_scores == 14 else int(asked.n_scores and bool(_SCORE.search(response)))
-    wanted = asked.n_scores + asked.domain
+    wanted = n_scores + asks_domain
     return (scores + domain) / wanted if wanted else 1.0
 
 
@@ -155,7 +182,11 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8).astype(np.int64)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if codes.max() < 1 << 16:
+        return codes.astype(np.int64)
     return np.where(codes < 1 << 16, codes, np.where((codes >= 0x20000) & (codes < 0x32400), 0x4E00, 0)).astype(np.int64)
 
 
@@ -190,12 +221,27 @@ _AT = {f: i for i, f in enumerate(_PLAIN_FEATURES)}
 _BIN_AT = {f: len(_AT) + 2 * i * _BINS for i, f in enumerate(_BINNED)}
 _WORD_AT = len(_AT) + 2 * len(_BINNED) * _BINS
 N_FEATURES = _WORD_AT + _WORDS
+_ALONE = [_AT[f] for f in ("bias", "score", "letter", "index", "colon", "stop", "dots", "short", "long")]
+_STOPS = ".!?。！？"
+_ECHO = [_AT[f"echo_{level}"] for level in range(4)]
+#: Features of a step that come together again in many: of its clause and place, of its words, of the whole response.
+_GROUPS = np.zeros(N_FEATURES, np.int8)
+_GROUPS[_WORD_AT:] = 1
+for _name in ("whole_own", "whole_strange", "whole_unknown", "whole_answer_missing"):
+    _GROUPS[_BIN_AT[_name] : _BIN_AT[_name] + 2 * _BINS] = 2
+_GROUPS[[_AT[_name] for _name in ("all", "some", "none", "much_echo")]] = 2
 
 
 def _word_features(words: list[str]) -> list[int]:
     """Hashed words, and of Chinese ones pairs of characters."""
-    parts = [w for word in words for w in ([word[i : i + 2] for i in range(len(word) - 1)] if _HAN.match(word) else [word])]
-    return sorted({_WORD_AT + hash_ % _WORDS for hash_ in map(_fold, parts)})
+    if not all(map(str.isascii, words)):
+        words = [w for word in words for w in ([word[i : i + 2] for i in range(len(word) - 1)] if _HAN.match(word) else [word])]
+    return sorted(set(map(_word_feature, words)))
+
+
+@lru_cache(maxsize=100_000)
+def _word_feature(word: str) -> int:
+    return _WORD_AT + _fold(word) % _WORDS
 
 
 @lru_cache(maxsize=100_000)
@@ -206,35 +252,86 @@ def _fold(s: str) -> int:
     return h ^ (h >> 13)
 
 
-def _clause(c: str) -> tuple:
-    """What a clause shows by itself: (features, score, letter, words, number of letters and digits, these)."""
-    score, letter, end = bool(_SCORE.search(c)), bool(_domain(c)), c.rstrip()
-    letters = plain(c)
-    bare = len(letters)
-    found = {"score": score, "letter": letter, "index": bool(_ITEM.search(c)), "colon": ":" in c or "：" in c, "stop": end[-1:] in ".!?。！？", "dots": end.endswith(("...", "…")), "short": bare < 8, "long": bare > 60}
-    return [_AT["bias"], *(_AT[k] for k, yes in found.items() if yes)], score, letter, [w.lower() for w in _WORD.findall(c)], max(1, bare), letters
+class Clause:
+    """What a clause shows by itself under requests of one language; ``base`` are the features that it has wherever it stands."""
+
+    __slots__ = ("text", "base", "missing", "score", "named", "cut", "letters", "size", "sums", "_words")
+
+    def __init__(self, c: str, known: frozenset[int]):
+        scores, end = _may_score(c), c.rstrip()
+        self.text, self.letters, self.score, self.named = c, plain(c), scores and bool(_SCORE.search(c)), bool(_domain(c))
+        self.size, bare = max(1, len(self.letters)), len(self.letters)
+        self.cut = not self.score and not self.named and end[-1:].isalnum()
+        found = (True, self.score, self.named, scores and bool(_ITEM.search("\n" + c)), ":" in c or "：" in c, end[-1:] in _STOPS, end.endswith(("...", "…")), bare < 8, bare > 60)
+        self.base = list(compress(_ALONE, found))
+        said = _words(c)
+        latin = [w for w in said if len(w) > 1] if c.isascii() else [w for w in said if len(w) > 1 and not _HAN.match(w)]
+        # Bits of the letters by both models, letters, those of another script, words, unknown ones: the first four follow.
+        self.sums, self._words = (0, 0, 0, 0, len(latin), len(latin) - sum(map(known.__contains__, map(_fold, latin)))), None
+
+    def weigh(self, sums: tuple[int, ...], levels: tuple[int, ...], side: int) -> None:
+        """Adds the sums and their bins."""
+        own, like, odd, unknown = levels
+        self.sums = sums
+        self.missing = _BIN_AT["answer_missing"] + side + like
+        self.base += [_BIN_AT["own"] + side + own, _BIN_AT["answer"] + side + like, _BIN_AT["strange"] + side + odd] if sums[2] else [_AT["no_letters"]]
+        if sums[4]:
+            self.base.append(_BIN_AT["unknown"] + side + unknown)
+        if sums[2] > 20:
+            self.base.append(_BIN_AT["own_long"] + side + own)
+        self.base = tuple(self.base)
+
+    @property
+    def words(self) -> tuple[int, ...]:
+        if self._words is None:
+            self._words = tuple(_word_features(_words(self.text)))
+        return self._words
+
+
+def _levels(sums: np.ndarray) -> list[tuple[int, ...]]:
+    """Of each row of sums, bins of the bits a letter by both models, of the share of letters of another script, and of unknown words."""
+    own, like, n, odd, words, unknown = sums.T
+    most = np.maximum(n, 1)
+    bins = (own / (1024 * most) - 6, like / (1024 * most) - 6, 13 * odd / most, 13 * unknown / np.maximum(words, 1))
+    return list(zip(*(np.minimum(np.maximum(x, 0), _BINS - 1).astype(np.int64).tolist() for x in bins)))
+
+
+_POWER = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=4)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2^bits powers of ``_POWER``, and of its inverse."""
+    of = lambda x: np.multiply.accumulate(np.append(np.uint64(1), np.full((1 << bits) - 1, x, np.uint64)))
+    return of(_POWER), of(pow(_POWER, -1, 1 << 64))
 
 
 def _windows(text: str, n: int) -> np.ndarray:
     """Hashes of the runs of ``n`` code points of a text."""
-    a = _codes(text).astype(np.uint64)
-    if len(a) < n:
+    if len(text) < n:
         return np.zeros(0, np.uint64)
-    x, power = np.zeros(len(a) - n + 1, np.uint64), 1
-    for i in range(n):
-        x += a[i : len(a) - n + 1 + i] * np.uint64(power)
-        power = power * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    a = _codes(text).astype(np.uint64)
+    up, down = _powers(max(12, len(a).bit_length()))
+    a *= up[: len(a)]
+    sums = a.cumsum()
+    x = sums[n - 1 :].copy()
+    x[1:] -= sums[:-n]
+    x *= down[: len(x)]
     return x
 
 
-def _covered(response: str, asked: Request, n: int) -> np.ndarray:
-    """Whether each letter or digit of a plain response lies in a run of ``n`` that stands in the request too."""
-    inside, x, y = np.zeros(len(response) + 1, np.int64), _windows(response, n), asked.windows(n)
-    if len(x) and len(y):
-        at = np.flatnonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-        np.add.at(inside, at, 1)
-        np.add.at(inside, at + n, -1)
-    return np.cumsum(inside[:-1]) > 0
+def _covered(parts: list[str], asked: Request, n: int) -> list[int]:
+    """Of each part of a plain response, how many letters or digits lie in a run of ``n`` that stands in the request too."""
+    y = asked.windows(n)
+    x = _windows("".join(parts), n) if len(y) else y
+    at = (y.take(y.searchsorted(x), mode="clip") == x).nonzero()[0] if len(x) else x
+    if not len(at):
+        return [0] * len(parts)
+    inside = np.zeros(len(x) + n + 1, np.int64)
+    inside[at + 1] += 1
+    inside[at + n + 1] -= 1
+    ends = (inside.cumsum() > 0).cumsum()[[0, *accumulate(map(len, parts))]].tolist()
+    return [b - a for a, b in zip(ends, ends[1:])]
 
 
 class Reader:
@@ -243,116 +340,91 @@ class Reader:
     def __init__(self, own: dict[bool, Letters], answers: dict[bool, Letters], words: frozenset[int]):
         self.words = words
         self._own, self._like = (np.round(1024 * np.concatenate([x[False].bits, x[True].bits])).astype(np.int64) for x in (own, answers))
-        self._seen: dict[str, tuple] = {}
-
-    def _part(self, c: str) -> tuple:
-        """``_clause`` with the numbers of words and of unknown words, kept for clauses that come again."""
-        if (known := self._seen.get(c)) is None:
-            if len(self._seen) >= 50_000:
-                self._seen.clear()
-            static, score, named, words, size, bare = _clause(c)
-            latin = [w for w in words if len(w) > 1 and not _HAN.match(w)]
-            known = self._seen[c] = static, score, named, words, size, len(latin), sum(_fold(w) not in self.words for w in latin), bare
-        return known
+        self._seen: dict[bool, dict[str, Clause]] = {False: {}, True: {}}
+
+    def _clauses(self, rows: list[tuple[str, Request, float]]) -> list[list[Clause]]:
+        """The clauses of each response; those that come again are kept.
+
+        A clause ends with a mark or with the response, so the n-grams of its letters are the same wherever it stands.
+        """
+        split = [[c for c in _CLAUSE.findall(r) if c and not c.isspace()] for r, _, _ in rows]
+        for zh, known in self._seen.items():
+            if len(known) >= 50_000:
+                known.clear()
+            new = list({c: None for some, (_, q, _) in zip(split, rows) if q.chinese == zh for c in some if c not in known})
+            if not new:
+                continue
+            grams, script = _grams("\n".join(new))
+            letter, side = script > 0, int(zh) << _BUCKETS
+            begin = np.cumsum([0, *(len(c) + 1 for c in new)])[:-1]
+            per = lambda x: np.add.reduceat(x, begin, dtype=np.int64).tolist()
+            own, like = (per(np.where(letter, bits[side:][grams], 0)) for bits in (self._own, self._like))
+            clauses = [Clause(c, self.words) for c in new]
+            sums = [(*found, *c.sums[4:]) for c, *found in zip(clauses, own, like, per(letter), per(letter & (script != (2 if zh else 1))))]
+            for c, mine, levels in zip(clauses, sums, _levels(np.array(sums))):
+                c.weigh(mine, levels, int(zh) * _BINS)
+            known.update(zip(new, clauses))
+        return [[self._seen[q.chinese][c] for c in some] for some, (_, q, _) in zip(split, rows)]
 
     def features(self, rows: list[tuple[str, Request, float]]) -> list[tuple[list[list[int]], list[int]]]:
         """Of each (response, request, part given): features of each clause, letters and digits of each."""
         if not rows:
             return []
-        text = "\n".join(r for r, _, _ in rows)
-        grams, script = _grams(text)
-        # A row of edges for each clause, and one for each whole response.
-        begin, edges, parts, first = 0, [], [], []
-        for response, _, _ in rows:
-            first.append(len(edges))
-            for m in _CLAUSE.finditer(response):
-                if (c := m.group()) and not c.isspace():
-                    edges.append((begin + m.start(), begin + m.end()))
-                    parts.append((c, *self._part(c)))
-            edges.append((begin, begin + len(response)))
-            parts.append(None)
-            begin += len(response) + 1
-        first.append(len(edges))
-        at, chinese = np.array(edges), np.array([q.chinese for _, q, _ in rows])
-        lengths = [len(r) + 1 for r, _, _ in rows]
-        lengths[-1] -= 1
-        where = grams + (np.repeat(chinese, lengths).astype(np.int64) << _BUCKETS)
-        letter = script > 0
-        # Whole numbers, so that sums over a batch don't depend on the rows before.
-        per = lambda x: (c := np.append(0, np.cumsum(x)))[at[:, 1]] - c[at[:, 0]]
+        read = self._clauses(rows)
+        begin = np.cumsum([0, *(len(some) + 1 for some in read)])[:-1]
+        none = (0,) * 6
+        whole = np.add.reduceat(np.array([x for some in read for x in (none, *(c.sums for c in some))]), begin)
+        return [self._features(*row, *more) for row, *more in zip(rows, read, _levels(whole))]
+
+    def _features(self, response: str, asked: Request, part: float, clauses: list[Clause], levels: tuple[int, ...]) -> tuple[list[list[int]], list[int]]:
         # Bins of Chinese requests are features of their own: pairs of characters are rarer than triples of letters.
-        side = np.repeat(chinese, np.diff(first)) * _BINS
-        bins = lambda name, x: (_BIN_AT[name] + side + np.minimum(np.maximum(x, 0), _BINS - 1).astype(np.int64)).tolist()
-        n = per(letter)
-        most = np.maximum(n, 1)
-        own = per(np.where(letter, self._own[where], 0)) / (1024 * most) - 6
-        like = per(np.where(letter, self._like[where], 0)) / (1024 * most) - 6
-        odd = 13 * per(letter & (script != np.where(np.repeat(chinese, lengths), 2, 1))) / most
-        words, unknown = (np.array([p[k] if p else 0 for p in parts]) for k in (6, 7))
-        for k, end in enumerate(first[1:]):
-            words[end - 1], unknown[end - 1] = words[first[k] : end - 1].sum(), unknown[first[k] : end - 1].sum()
-        strangers = 13 * unknown / np.maximum(words, 1)
-        b_own, b_long, b_like, b_odd, b_unknown = bins("own", own), bins("own_long", own), bins("answer", like), bins("strange", odd), bins("unknown", strangers)
-        b_missing = bins("answer_missing", like)
-        w_own, w_like, w_odd, w_unknown = bins("whole_own", own), bins("whole_answer_missing", like), bins("whole_strange", odd), bins("whole_unknown", strangers)
-        letters, n_words, out = n.tolist(), words.tolist(), []
-        for k, (response, asked, part) in enumerate(rows):
-            low, end = first[k], first[k + 1] - 1
-            missing, sizes = part < 1, [p[5] for p in parts[low:end]]
-            whole = [w_own[end], w_odd[end], w_unknown[end], _AT["all" if part >= 1 else "some" if part > 0 else "none"]]
-            echo: list[float] = []
+        missing, side, sizes = part < 1, asked.chinese * _BINS, [c.size for c in clauses]
+        own, like, odd, unknown = levels
+        whole = [_BIN_AT["whole_own"] + side + own, _BIN_AT["whole_strange"] + side + odd, _BIN_AT["whole_unknown"] + side + unknown, _AT["all" if part >= 1 else "some" if part > 0 else "none"]]
+        echo: list[float] = []
+        if missing:
+            whole.append(_BIN_AT["whole_answer_missing"] + side + like)
+            held = _covered([c.letters for c in clauses], asked, 8 if asked.chinese or not response.isascii() and _HAN.search(response) else 15)
+            echo = [h / len(c.letters) if h else 0.0 for h, c in zip(held, clauses)]
+            if sum(e * s for e, s in zip(echo, sizes)) >= 0.75 * sum(sizes):
+                whole.append(_AT["much_echo"])
+        found, later, last = [], False, len(clauses) - 1
+        of_score = _AT["score_missing" if missing else "score_all"]
+        for i in range(last, -1, -1):
+            c, more = clauses[i], []
+            if i == 0:
+                more.append(_AT["first"])
+            if i == last:
+                more += [_AT["last"], _AT["last_missing" if missing else "last_all"]]
+                if c.cut:
+                    more.append(_AT["cut"])
+                if i == 0:
+                    more.append(_AT["only"])
+            if c.score:
+                more.append(of_score)
+            if later:
+                more.append(_AT["before_score"])
             if missing:
-                whole.append(w_like[end])
-                bare = [p[8] for p in parts[low:end]]
-                held = _covered("".join(bare), asked, 8 if asked.chinese or _HAN.search(response) else 15)
-                sums, begin = np.append(0, np.cumsum(held)).tolist(), 0
-                for x in bare:
-                    echo.append((sums[begin + len(x)] - sums[begin]) / len(x) if x else 0.0)
-                    begin += len(x)
-                if sum(e * s for e, s in zip(echo, sizes)) >= 0.75 * sum(sizes):
-                    whole.append(_AT["much_echo"])
-            found, later = [], False
-            for i in range(end - 1, low - 1, -1):
-                c, static, score, named, said = parts[i][:5]
-                more = [b_own[i], b_like[i], b_odd[i]] if letters[i] else [_AT["no_letters"]]
-                if n_words[i]:
-                    more.append(b_unknown[i])
-                if letters[i] > 20:
-                    more.append(b_long[i])
-                if i == low:
-                    more.append(_AT["first"])
-                if i == end - 1:
-                    more += [_AT["last"], _AT["last_missing" if missing else "last_all"]]
-                    if not score and not named and c.rstrip()[-1:].isalnum():
-                        more.append(_AT["cut"])
-                    if i == low:
-                        more.append(_AT["only"])
-                if score:
-                    more.append(_AT["score_missing" if missing else "score_all"])
-                if later:
-                    more.append(_AT["before_score"])
-                if missing:
-                    e = echo[i - low]
-                    level = 0 if e < 0.2 else 1 if e < 0.5 else 2 if e < 0.9 else 3
-                    more += [_AT[f"echo_{level}"], b_missing[i]]
-                    if not score and not named:
-                        more.append(_AT["prose_missing"])
-                        if part == 0:
-                            more.append(_AT["prose_none"])
-                        if level >= 2:
-                            more.append(_AT["echo_prose"])
-                        more += _word_features(said)
-                found.append(static + more + whole)
-                later = later or score
-            out.append((found[::-1], sizes))
-        return out
+                e = echo[i]
+                level = 0 if e < 0.2 else 1 if e < 0.5 else 2 if e < 0.9 else 3
+                more += [_ECHO[level], c.missing]
+                if not c.score and not c.named:
+                    more.append(_AT["prose_missing"])
+                    if part == 0:
+                        more.append(_AT["prose_none"])
+                    if level >= 2:
+                        more.append(_AT["echo_prose"])
+                    more += c.words
+            found.append([*c.base, *more, *whole])
+            later = later or c.score
+        return found[::-1], sizes
 
 
 def prepared(response: str | None) -> str | None:
     """The response in half-width digits; none for an empty one."""
     if response is None or plain(response) in NO_VALUE:
         return None
-    return response.translate(_FULL) if _WIDE.search(response) else response
+    return response.translate(_FULL) if not response.isascii() and _WIDE.search(response) else response
 
 
 def decide(tags: np.ndarray, sizes: list[int]) -> str | None:
@@ -376,7 +448,7 @@ def _exchanged(text: str, rng: np.random.Generator) -> str:
     """The Latin letters of a text exchanged, vowels among vowels, by one draw, or moved to another script."""
     if rng.random() < 0.25:
         first = int(rng.choice([0x3B1, 0x430, 0x5D0, 0x627, 0xAC00, 0x3042, 0x905]))
-        return "".join(chr(first + (ord(c.lower()) - 97)) if c.isascii() and c.isalpha() else c for c in text)
+        return text.translate({a + i: first + i for a in (65, 97) for i in range(26)})
     table, rate = {}, rng.uniform(0.4, 1.0)
     for group in ("aeiou", "bcdfghjklmnpqrstvwxyz"):
         some = [c for c in group if rng.random() < rate]
@@ -432,12 +504,12 @@ class Counts:
 
 
 def _words_of(texts: list[str]) -> set[str]:
-    return {w.lower() for x in texts for w in _WORD.findall(x)}
+    return set(_words("\n".join(texts)))
 
 
 def count_requests(rows: Rows, into: Counts) -> None:
     """Lines of the requests that are in the language of the instructions."""
-    lines = [[x for x in (q.asks + "\n" + q.text).split("\n") if bool(_HAN.search(x)) == q.chinese] for _, q in rows]
+    lines = [[x for x in (q.asks + "\n" + q.text).split("\n") if (not x.isascii() and bool(_HAN.search(x))) == q.chinese] for _, q in rows]
     into.add({zh: [x for some, (_, q) in zip(lines, rows) if q.chinese == zh for x in some] for zh in (False, True)}, [_words_of(some) for some, (_, q) in zip(lines, rows) if not q.chinese])
 
 
@@ -449,10 +521,14 @@ class Judge:
 
     def bits(self, rows: Rows) -> list[int]:
         """Of each row its bits a letter in thousandths; -1 where the answer isn't complete."""
-        out = []
-        for r, q in rows:
-            grams, script = _grams(r) if given(r, q) >= 1 else (None, None)
-            out.append(-1 if grams is None else round(1000 * float(self.own[q.chinese].bits[grams][script > 0].mean())) if (script > 0).any() else 0)
+        out, at = [-1] * len(rows), [i for i, (r, q) in enumerate(rows) if given(r, q) >= 1]
+        grams, script = _grams("\n".join(rows[i][0] for i in at))
+        letter, end = script > 0, -1
+        for i in at:
+            r, q = rows[i]
+            here = slice(end + 1, end := end + 1 + len(r))
+            bits = self.own[q.chinese].bits[grams[here][letter[here]]]
+            out[i] = round(1000 * float(bits.mean())) if len(bits) else 0
         return out
 
     def count(self, rows: Rows) -> Counter:
@@ -606,7 +682,8 @@ def fit_rows(rows: list[tuple[str | None, str | None]], seed: int = 5) -> Field:
     count_answers(ready, judge, counts)
     reader = _reader(judge.own, requests, counts.flush(), len(rows))
     made = list(training(ready, judge, reader, seed)) if judge.most else []
-    reader._seen.clear()
+    for seen in reader._seen.values():
+        seen.clear()
     return Field(reader, Crf(N_FEATURES, len(LABELS)).fit([x for x, _ in made], [y for _, y in made], FIT_STEPS))
 
 
@@ -645,7 +722,7 @@ def _counted(add: Callable[[Rows, Counts], None]) -> Callable[[Iterator[Rows]],
 
 
 def _packed(x: list, y: list) -> bytes:
-    return np.array([len(x), *map(len, x), *y, *chain.from_iterable(x)], "<u2").tobytes()
+    return np.array(array("H", [len(x), *map(len, x), *y, *chain.from_iterable(x)]), "<u2").tobytes()
 
 
 def _unpacked(key: bytes) -> tuple[list, list]:
@@ -657,6 +734,28 @@ def _unpacked(key: bytes) -> tuple[list, list]:
     return x, v[1 + n : 1 + 2 * n]
 
 
+def _stored(c: Chunk) -> bytes:
+    return pickle.dumps((list(map(tuple, c.parts)), *c[1:]))
+
+
+def _loaded(data: bytes) -> Chunk:
+    parts, *rest = pickle.loads(data)
+    return Chunk([Part(*p) for p in parts], *rest)
+
+
+def _flat_of(keys: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of packed sequences, one after another: steps of each, features and label of each step, the features."""
+    v = np.frombuffer(b"".join(keys), "<u2").astype(np.int64)
+    begin = np.cumsum([0, *map(len, keys)])[:-1] // 2
+    lengths = v[begin]
+    within = np.arange(int(lengths.sum())) + np.repeat(begin + 1 - (np.cumsum(lengths) - lengths), lengths)
+    labels = within + np.repeat(lengths, lengths)
+    features = np.ones(len(v), bool)
+    for head in (begin, within, labels):
+        features[head] = False
+    return lengths, v[within], v[labels], v[features]
+
+
 def _chunks(rows: DataFrame, judge: Judge, reader: Reader) -> DataFrame:
     """The rows made from all rows, as a table of pickled chunks; equal sequences are one."""
     shared = rows.sparkSession.sparkContext.broadcast((judge, reader))
@@ -668,8 +767,8 @@ def _chunks(rows: DataFrame, judge: Judge, reader: Reader) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole(keys: list[bytes], times: list[int]) -> pa.RecordBatch:
-            c = chunk(*zip(*map(_unpacked, keys)), [weight(n) for n in times])
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(c))], pa.binary())], names=["chunk"])
+            c = flat_chunk(*_flat_of(keys), np.array([weight(n) for n in times]), _GROUPS)
+            return pa.RecordBatch.from_arrays([pa.array([_stored(c)], pa.binary())], names=["chunk"])
 
         keys, times = [], []
         for b in batches:
@@ -693,7 +792,7 @@ def _slope(chunks: DataFrame) -> Callable[[Crf], np.ndarray]:
             found = 0.0
             for b in batches:
                 for c in b.column("chunk").to_pylist():
-                    found = found + shared.value.slope(Chunk(*pickle.loads(c)))
+                    found = found + shared.value.slope(_loaded(c))
             if np.ndim(found):
                 yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["slope"])
 

@@ -237,3 +237,50 @@ def test_made_rows_depend_on_their_row_alone():
     assert whole == [pairs._packed(x, y) for r in rows for x, y in pairs.training([r], judge, reader)]
     assert all(pairs._packed(*pairs._unpacked(k)) == k for k in whole)
     assert {y for k in whole for y in pairs._unpacked(k)[1]} == set(range(5))
+
+
+def test_clauses_that_come_again_are_read_once(monkeypatch, field):
+    """The letters of fifty equal answers cost as much as those of one; features are the same whether clauses are known or not."""
+    read, grams = [], pairs._grams
+    monkeypatch.setattr(pairs, "_grams", lambda text: read.append(len(text)) or grams(text))
+    rows = [(FULL, pairs.Request(ALL), 1.0)] * 50 + [(FULL[:120], pairs.Request(ALL), 0.2), ("Общая оценка: 3/5", pairs.Request(ZH), 1.0)]
+    fresh = lambda: pairs.Reader(*({zh: pairs.Letters(np.arange(1 << pairs._BUCKETS) % 7 * (1 + zh)) for zh in (False, True)} for _ in range(2)), field.reader.words)
+    reader = fresh()
+    got = reader.features(rows)
+    assert sum(read) < 2 * len(FULL)
+    assert got == reader.features(rows) == [fresh().features([r])[0] for r in rows]
+
+
+@pytest.mark.parametrize("groups", [None, np.array([0, 0, 1, 1, 2, 2])])
+def test_slope_equals_enumeration(groups):
+    """The slope is that of the likelihood, also where equal parts of steps are summed once and some steps lack a part."""
+    from itertools import product
+
+    from siftloom.llm.crf import chunk
+
+    rng = np.random.default_rng(7)
+    rows = [[sorted({int(rng.integers(2)), *(f for f in range(2, 6) if rng.random() < 0.4)}) for _ in range(k)] for k in (1, 4, 2, 3, 4, 1)]
+    labels, weights = [rng.integers(0, 3, len(r)).tolist() for r in rows], [1.0, 2.0, 0.5, 1.0, 3.0, 1.0]
+    crf = Crf(6, 3)
+    crf.w, crf.t, crf.s = rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+
+    def likelihood():
+        total = 0.0
+        for r, y, weight in zip(rows, labels, weights):
+            value = lambda p: crf.s[p[0]] + sum(crf.w[s, a].sum() for s, a in zip(r, p)) + sum(crf.t[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            total += weight * (value(y) - np.log(sum(np.exp(value(p)) for p in product(range(3), repeat=len(r)))))
+        return total
+
+    want = []
+    for p in (crf.w, crf.t, crf.s):
+        for i in np.ndindex(p.shape):
+            p[i] += 1e-5
+            above = likelihood()
+            p[i] -= 2e-5
+            want.append((above - likelihood()) / 2e-5)
+            p[i] += 1e-5
+    one = chunk(rows, labels, weights, *([] if groups is None else [groups]))
+    assert crf.slope(one) == pytest.approx([*want, sum(weights)], abs=1e-6)
+    if groups is not None:
+        parts = [{tuple(f for f in s if groups[f] == g) for r in rows for s in r} - {()} for g in range(3)]
+        assert [len(p.start) for p in one.parts] == [len(p) for p in parts]
